@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import dedup, mixing, sharding, url_rules
+from corvane.llm import bpe, dedup, mixing, sharding, token_files, url_rules
 from corvane.sources import table
 
 QUERIES = {}
@@ -45,6 +47,27 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARD_NAMES)
 
 
+RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def bpe_digests(documents: DataFrame) -> DataFrame:
+    coded = bpe.decode(bpe.encode(documents, RANK_FILE, public_tokenizers.PATTERN), RANK_FILE, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query()
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), WORD_TOKENIZER))
+
+
 OP6_SQL = r"""
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, (SELECT count(*) FROM documents) / (SELECT count(*) FROM counts) / n AS rate FROM counts),
