@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, dedup, mixing, sharding, token_files, url_rules
+from corvane.llm import bpe, dedup, language, mixing, sharding, token_counts, token_files, url_rules
 from corvane.sources import table
 
 QUERIES = {}
@@ -115,3 +115,13 @@ SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, 'allow') AS ve
 @query(OP10_SQL)
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.rule_table(spark, URL_RULES))
+
+
+@query()
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
+
+
+@query()
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
