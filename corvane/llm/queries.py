@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, dedup, language, mixing, sharding, token_counts, token_files, url_rules
+from corvane.llm import bpe, dedup, inner_product, language, mixing, sharding, token_counts, token_files, url_rules
 from corvane.sources import table
 
 QUERIES = {}
@@ -125,3 +125,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query()
+def op5_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product.search(table(spark, sf_dir, "embeddings"))
