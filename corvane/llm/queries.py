@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, dedup, inner_product, language, mixing, sharding, token_counts, token_files, url_rules
+from corvane.llm import bpe, dedup, inner_product, language, mixing, near_dups, sharding, token_counts, token_files, url_rules
 from corvane.sources import table
 
 QUERIES = {}
@@ -130,3 +130,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_product.search(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_dups(table(spark, sf_dir, "documents").select("doc_id", "text"))
