@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from corvane.sources import table
-
 QUERIES = {}
 ORACLE_SQL = {}
 FLAGSHIP = "rrf_fuse_ordinal"
