@@ -16,10 +16,10 @@ KINDS = {"purchase": G.COMPLETED, "signup": G.SET, "error": G.CLEARED}
 AS_OF, CLAIMS_AT = "2024-01-20 00:00:00", "1998-06-01 00:00:00"
 
 
-def state_events(spark, d) -> DataFrame:
+def state_events(spark, d, rows: DataFrame | None = None) -> DataFrame:
     """Events as state changes of (user, k) nodes; a deadline lies as many days ahead as its value says."""
     kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("event_type")]
-    e = table(spark, d, "events").where(F.col("event_type").isin(list(KINDS)))
+    e = (table(spark, d, "events") if rows is None else rows).where(F.col("event_type").isin(list(KINDS)))
     node = F.concat("user_id", F.lit("-"), F.get_json_object("props", "$.k"))
     value_at = F.when(F.col("event_type") == "signup", F.col("ts") + F.make_dt_interval(F.floor("value").cast("int")))
     return e.select(node.alias("node_id"), kind.alias("event_type"), value_at.alias("value_at"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"), F.lit("derived").alias("origin"))
