@@ -284,6 +284,6 @@ def texts_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows that are the smallest id of their class, and those with a null id and class, once each."""
+    """df's rows with the smallest id of their class. Rows with a null id can't be told apart and stay, as do repeats of an id."""
     first = near_dups(df.select(id_col, text_col), id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("kept_id")).distinct()
     return df.join(first, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
