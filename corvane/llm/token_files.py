@@ -35,7 +35,7 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 20
 #: Rounds of pair replacement at most, and how often a pair must occur for a rule to pay.
 ROUNDS, LEAST = 12, 4
-MEMO, LONG_TEXT = 300_000, 4_000_000
+MEMO, LONG_TEXT = 800_000, 4_000_000
 HASH_BITS = 16
 
 
@@ -59,6 +59,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.terminals = self.tokenizer.get_vocab_size()
         self.code = "H" if self.terminals <= 1 << 16 else "I"
+        self.ends_word = np.zeros(self.terminals, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
         self.memo: dict[str, bytes] = {}
 
     def _lists(self, text: str) -> Iterator[list[str]]:
@@ -78,10 +81,26 @@ class WordEncoder:
         if len(self.memo) + len(missing) > MEMO:
             self.memo.clear()
             missing = set().union(*parts)
+        words = [c for c in missing if c.isalpha()]
+        if words and self._learn_words(words):
+            missing.difference_update(words)
         missing, code = list(missing), self.code
         for chunk, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
             self.memo[chunk] = array(code, e.ids).tobytes()
 
+    def _learn_words(self, words: list[str]) -> bool:
+        """Encode chunks of letters in one text: each is one match, so its last id, and no other, ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return False
+        packed, width = ids.astype(np.dtype(self.code)).tobytes(), array(self.code).itemsize
+        at = 0
+        for word, stop in zip(words, (stops * width).tolist(), strict=True):
+            self.memo[word] = packed[at:stop]
+            at = stop
+        return True
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as packed unsigned integers. The memo holds this many texts' chunks at once: give few."""
         out: list[bytes] = []
@@ -124,7 +143,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
         often = often[times[often] >= floor]
         often = often[np.argsort(-times[often], kind="stable")][: min(room, 1 << (HASH_BITS - 2))]
         chosen = ordered[first[often]]
-        spread = lambda p: ((p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        factor, shift = (np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - HASH_BITS)) if wide else (np.uint32(0x9E3779B1), np.uint32(32 - HASH_BITS))
+        spread = lambda p: (p * factor >> shift).astype(np.intp)
         slot = spread(chosen)
         _, at = np.unique(slot, return_index=True)  # of pairs in one slot the most frequent; the others have later rounds
         chosen, slot = chosen[np.sort(at)], slot[np.sort(at)]
