@@ -5,14 +5,23 @@ Filters belong on the rows given to a lane, so that what they drop never takes a
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 
 #: Question sets up to this many rows may be broadcast.
 BROADCAST_QUESTIONS = 10_000
+#: Question sets up to this many rows may be a matrix in every task.
+MATRIX_QUESTIONS = 2_000
 
 
 def top_k(hits: DataFrame, k: int, dense: bool = False) -> DataFrame:
@@ -72,11 +81,69 @@ def trigram_hits(questions: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def trigram_lane(questions: DataFrame, rows: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Share of the question's trigrams that the row has: the upper bound of word similarity, which never misses a row."""
-    hits = trigram_hits(questions, rows).withColumn("score", F.round(F.col("shared") / F.col("n_q"), 6))
+    """Share of the question's trigrams that the row has: the upper bound of word similarity, which never misses a row.
+
+    Up to MATRIX_QUESTIONS questions go to every task as a matrix, and each task returns its own k best of a question;
+    common trigrams would otherwise join nearly every row with every question. More questions meet rows by postings.
+    """
+    asked = questions.select("qid", T.text_trigrams(F.col("text")).alias("g")).where(F.size("g") > 0)
+    if asked.count() <= MATRIX_QUESTIONS:
+        hits = _matrix_hits(asked, rows, k, threshold)
+    else:
+        hits = trigram_hits(questions, rows)
+    hits = hits.withColumn("score", F.round(F.col("shared") / F.col("n_q"), 6))
     return top_k(hits.where(F.col("score") >= threshold).select("qid", "id", "score"), k)
 
 
+def _matrix_hits(asked: DataFrame, rows: DataFrame, k: int, threshold: float) -> DataFrame:
+    """qid, id, shared, n_q by products of incidence matrices; rows below the threshold or a task's k best don't come."""
+    collected = asked.collect()
+    grams = [r.g for r in collected]
+    kinds = {name: df.schema[name].dataType.simpleString() for name, df in (("qid", asked), ("id", rows))}
+    qids = [r.qid for r in collected]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {g: i for i, g in enumerate(sorted({g for one in grams for g in one}))}
+        wanted = np.zeros((len(place), len(grams)), np.float32)
+        for q, one in enumerate(grams):
+            wanted[[place[g] for g in one], q] = 1
+        n_q = np.array([len(one) for one in grams])
+        least = np.maximum(1, np.ceil(threshold * n_q - 1e-6))
+        by_word: dict[str, list[int]] = {}
+        found: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+
+        def best() -> tuple[np.ndarray, pa.Array, np.ndarray]:
+            q, ids, shared = np.concatenate([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), np.concatenate([f[2] for f in found])
+            order = np.lexsort((pc.rank(ids, tiebreaker="dense").to_numpy(), -shared, q))
+            first = np.searchsorted(q[order], q[order])
+            order = order[np.arange(len(order)) - first < k]
+            return q[order], ids.take(pa.array(order)), shared[order]
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                has = np.zeros((part.num_rows, len(place)), np.float32)
+                for i, text in enumerate(part.column(1)):
+                    for w in set(re.findall("[a-z0-9]+", (text.as_py() or "").lower())):
+                        if w not in by_word:
+                            if len(by_word) > 200_000:
+                                by_word.clear()
+                            padded = f"  {w} "
+                            by_word[w] = [place[g] for g in {padded[j : j + 3] for j in range(len(w) + 1)} if g in place]
+                        has[i, by_word[w]] = 1
+                shared = has @ wanted
+                row, q = np.nonzero(shared >= least)
+                found.append((q, part.column(0).take(pa.array(row)), shared[row, q].astype(np.int64)))
+            if sum(len(f[0]) for f in found) > 500_000:
+                found = [best()]
+        if found:
+            q, ids, shared = best()
+            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q], asked_type), ids, pa.array(shared), pa.array(n_q[q])], ["qid", "id", "shared", "n_q"])
+
+    asked_type = to_arrow_type(asked.schema["qid"].dataType)
+    return rows.select("id", "text").mapInArrow(run, f"qid {kinds['qid']}, id {kinds['id']}, shared long, n_q long")
+
+
 def edge_lane(hits: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """hits (qid, edge id, score) on the reasons of edges (id, source, target): both ends, at the edge's rank, repeats kept."""
     ranked = top_k(hits, k)

@@ -172,3 +172,11 @@ def test_stream_ingest_reruns_are_no_ops(spark, tmp_path):
     spark.createDataFrame([(1, 4, "user", "t0"), (1, 5, "user", "new")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     run(0)
     assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/ledger").collect()) == ["new", "t0", "t0", "t1", "t1"]
+
+
+def test_trigram_lane_by_matrix_and_by_postings(spark, monkeypatch):
+    q = spark.createDataFrame([(1, "red door"), (2, "opening lamps"), (3, "??")], "qid int, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a red dor", "red doors and lamps", "opened a lamp", None, "", "red door"])], "id long, text string").repartition(3)
+    by_matrix = rows(lanes.trigram_lane(q, docs, 2, 0.3))
+    monkeypatch.setattr(lanes, "MATRIX_QUESTIONS", 0)
+    assert by_matrix == rows(lanes.trigram_lane(q, docs, 2, 0.3)) and (1, 5, 1.0, 1) in by_matrix
