@@ -144,11 +144,10 @@ def settled_sessions(spark, d):
     return e.groupBy("user_id").agg(F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("n")).where(F.col("last_at") <= F.lit(now) - F.expr("INTERVAL 24 HOURS"))
 
 
-@query("larger_file_wins", "SELECT digest, doc_id FROM (SELECT md5(substr(text, 1, 40)) AS digest, doc_id, row_number() OVER (PARTITION BY md5(substr(text, 1, 40)) ORDER BY n_chars DESC, doc_id DESC) AS k FROM documents) WHERE k = 1")
+@query("larger_file_wins", "SELECT source, lang, doc_id FROM (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id DESC) AS k FROM documents) WHERE k = 1")
 def larger_file_wins(spark, d):
-    """Of files with one session id (here: one opening), the larger, then the later one."""
-    docs = table(spark, d, "documents").select(F.md5(F.substring("text", 1, 40).cast("binary")).alias("digest"), "doc_id", "n_chars")
-    return docs.groupBy("digest").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"))
+    """Of files with one session id (here: source and language), the larger, then the later one."""
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"))
 
 
 @query("exclusion_gate", "SELECT conv_id, count(*) AS turns FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE contains(lower(text), 'tion')) GROUP BY conv_id")
