@@ -24,13 +24,21 @@ BROADCAST_QUESTIONS = 10_000
 MATRIX_QUESTIONS = 2_000
 
 
-def top_k(hits: DataFrame, k: int, dense: bool = False) -> DataFrame:
+def top_k(hits: DataFrame, k: int, dense: bool = False, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Ordinal ranks break ties by id; dense ranks share them, and the k places are still given by id."""
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("id"))
     cut = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     if not dense:
         return cut.withColumnRenamed("place", "rnk")
-    return cut.withColumn("rnk", F.dense_rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))).drop("place")
+    return cut.withColumn("rnk", F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc("score")))).drop("place")
+
+
+def text_lanes(hits: DataFrame, k: int, weights: dict[str, float], dense: bool = False) -> DataFrame:
+    """qid, lane, id, score, rnk, weight of the exact and the fragment lane, ranked in one pass over the hits."""
+    some = F.col("matched") >= F.least(F.lit(2), F.col("n_terms"))
+    lane = F.explode(F.when(F.col("matched") == F.col("n_terms"), F.array(F.lit("and"), F.lit("or"))).when(some, F.array(F.lit("or"))))
+    ranked = top_k(hits.select("qid", lane.alias("lane"), "id", "score"), k, dense, ("qid", "lane"))
+    return ranked.withColumn("weight", F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("lane")])
 
 
 def and_lane(hits: DataFrame, k: int) -> DataFrame:

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions import text as T
 
+#: Entries (terms times questions) up to which a question set goes to every task as a matrix: 64 MB of it.
+MATRIX_ENTRIES = 16_000_000
+
 
 def query_terms(questions: DataFrame, most: int = 32, qid: str = "qid", text: str = "text") -> DataFrame:
     """qid, term, n_terms: the first `most` distinct content terms of each question, in order of appearance."""
@@ -34,6 +43,46 @@ def term_hits(posted: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.select("qid", "id", "n_terms", "matched", (F.col("tf") / F.col("len")).alias("score"))
 
 
+def question_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
+    """As term_hits, for rows with at least two of a question's terms, or its only one.
+
+    A common term would join most documents with most questions. Where the question set is small enough to be a matrix
+    in every task, a batch of documents is multiplied with it instead: no postings are shuffled, and what comes out is
+    at most a row per document and question. Larger question sets meet documents by postings.
+    """
+    vocabulary = terms.select("term").distinct()
+    if vocabulary.count() * terms.select("qid").distinct().count() > MATRIX_ENTRIES:
+        return term_hits(postings(docs, id_col, text_col, vocabulary), terms).where("matched >= least(2, n_terms)")
+    asked = terms.collect()
+    place = {t: i for i, t in enumerate(sorted({r.term for r in asked}))}
+    qids = {q: i for i, q in enumerate(dict.fromkeys(r.qid for r in asked))}
+    wanted = np.zeros((len(place), len(qids)), np.float32)
+    n_terms = np.zeros(len(qids), np.int64)
+    for r in asked:
+        wanted[place[r.term], qids[r.qid]], n_terms[qids[r.qid]] = 1, r.n_terms
+    names, qid_type, id_type = list(qids), terms.schema["qid"].dataType, docs.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, column, labels = re.compile(T.TERM).findall, place.get, pa.array(names, to_arrow_type(qid_type))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                count, size = np.zeros((part.num_rows, len(place)), np.float32), np.zeros(part.num_rows, np.int64)
+                for i, text in enumerate(part.column(1)):
+                    found = term((text.as_py() or "").lower())
+                    size[i] = len(found)
+                    known = [c for c in map(column, found) if c is not None]
+                    count[i] = np.bincount(known, minlength=len(place)) if known else 0
+                matched, total = (count > 0).astype(np.float32) @ wanted, count @ wanted
+                row, q = np.nonzero(matched >= np.maximum(1, np.minimum(2, n_terms)))
+                columns = [labels.take(pa.array(q)), part.column(0).take(pa.array(row)), n_terms[q], matched[row, q].astype(np.int64), total[row, q].astype(np.int64), size[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["qid", "id", "n_terms", "matched", "tf", "len"])
+
+    schema = f"qid {qid_type.simpleString()}, id {id_type.simpleString()}, n_terms long, matched long, tf long, len long"
+    hits = docs.select(id_col, text_col).mapInArrow(run, schema)
+    return hits.select("qid", "id", "n_terms", "matched", (F.col("tf") / F.col("len")).alias("score"))
+
+
 def stem_frequency(posted: DataFrame) -> DataFrame:
     """stem, df: the largest document frequency of the surface forms that share a stem. Stems are made of the vocabulary, not of the text."""
     return document_frequency(posted).select(T.stem(F.col("term")).alias("stem"), "df").groupBy("stem").agg(F.max("df").alias("df"))

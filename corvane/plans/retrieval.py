@@ -20,9 +20,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    terms = P.query_terms(questions(spark, d))
-    posted = P.postings(table(spark, d, "documents"), "doc_id", "text", terms.select("term").distinct())
-    return P.term_hits(posted, terms)
+    return P.question_hits(table(spark, d, "documents"), "doc_id", "text", P.query_terms(questions(spark, d)))
 
 
 def centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -152,11 +150,7 @@ lanes AS (SELECT qid, 'and' AS lane, id, score, rnk, 1.0::DOUBLE AS weight FROM
 
 
 def lanes(spark, d, dense: bool = False) -> DataFrame:
-    h = hits(spark, d)
-    exact = L.top_k(h.where("matched = n_terms").select("qid", "id", "score"), 24, dense)
-    some = L.top_k(h.where("matched >= least(2, n_terms)").select("qid", "id", "score"), 24, dense)
-    tag = lambda df, lane, w: df.select("qid", F.lit(lane).alias("lane"), "id", "score", "rnk", F.lit(w).alias("weight"))
-    return tag(exact, "and", 1.0).unionByName(tag(some, "or", 0.6))
+    return L.text_lanes(hits(spark, d), 24, {"and": 1.0, "or": 0.6}, dense)
 
 
 @query("rrf_fuse_ordinal", _LANES + """, f AS (SELECT qid, id, round(sum(weight / (60 + rnk)), 9) AS rrf, max(CASE WHEN lane = 'and' THEN rnk END) AS and_rank, max(CASE WHEN lane = 'or' THEN rnk END) AS or_rank FROM lanes GROUP BY qid, id)

@@ -34,6 +34,15 @@ def test_lanes_need_all_terms_or_two(spark):
     assert {(r.qid, r.id) for r in lanes.or_lane(hits, 5).collect()} == {(1, 1), (1, 2), (2, 4)}
 
 
+def test_question_hits_by_matrix_and_by_postings(spark, monkeypatch):
+    q = spark.createDataFrame([(1, "red door house"), (2, "lamp"), (3, "the of")], "qid int, text string")
+    docs = spark.createDataFrame([(1, "a red door, RED house"), (2, "red door"), (3, "red"), (4, "lamp lamp x"), (5, None), (6, "")], "id long, text string")
+    terms = postings.query_terms(q)
+    by_matrix = rows(postings.question_hits(docs, "id", "text", terms))
+    monkeypatch.setattr(postings, "MATRIX_ENTRIES", 0)
+    assert by_matrix == rows(postings.question_hits(docs, "id", "text", terms)) == [(1, 1, 3, 3, 4 / 5), (1, 2, 3, 2, 1.0), (2, 4, 1, 1, 2 / 3)]
+
+
 def test_filters_before_ranking(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "qid int, qv array<double>")
     v = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.9, 0.1], 2), (3, None, 2)], "id long, v array<double>, year int")
