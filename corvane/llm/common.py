@@ -58,3 +58,22 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: Bytes of one Arrow batch between the JVM and a Python worker: long texts then come few at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches bounded by bytes, for functions that take whole texts."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """df's rows whose id isn't among ids. Where those are few, Spark broadcasts them and the texts don't move."""
+    gone = cut(ids.toDF("gone_id").distinct(), "gone")
+    return df.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")

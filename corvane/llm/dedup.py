@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, free_name
+from corvane.llm.common import cut, free_name, without
 
 RUNS, FAN_IN = 64, 4
 #: Characters that don't count, as a fixed value of the contract: space and U+0009 to U+000D.
@@ -54,7 +54,17 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def keep_unique(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without its dropped rows, with df's columns; a repeated row of the winner's id stays once."""
-    mark = free_name(df, "keep_mark")
-    kept = exact_dedup(df.select(id_col, text_col), id_col, text_col).where("kept").select(F.col(id_col).alias(mark)).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col(mark)), "left_semi").dropDuplicates([id_col])
+    """df without its dropped rows, with df's columns; a repeated row of the winner's id stays once.
+
+    Where every row has an id of its own, dropped ids are enough. Else rows of one id are told apart by their digest.
+    """
+    marks = cut(exact_dedup(df.select(id_col, text_col), id_col, text_col), "marks")
+    if marks.where(F.col(id_col).isNull()).isEmpty() and marks.groupBy(id_col).count().where("count > 1").isEmpty():
+        return without(df, id_col, marks.where("not kept").select(id_col))
+    digest = free_name(df, "digest_of_text")
+    norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANKS, "")
+    winners = marks.where("kept").select(F.col(id_col).alias("winner"), F.col("text_sha256").alias("winner_digest")).distinct()
+    rows = df.withColumn(digest, F.sha2(norm, 256))
+    kept = rows.join(winners, F.col(id_col).eqNullSafe(F.col("winner")) & (F.col(digest) == F.col("winner_digest")), "left_semi")
+    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(F.length(text_col), text_col))
+    return kept.groupBy(digest).agg(best.alias("row")).select("row.*")

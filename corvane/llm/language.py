@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import free_name, hash60
+from corvane.llm.common import bound_batches, free_name, hash60
 
 BITS, GRAMS = 15, (1, 2, 3)
 DIMS = 1 << BITS
@@ -143,7 +143,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learnable: Column | None = None) -> Model:
     """A model of the learnable rows (by default those that held_out() leaves) with a language."""
-    rows = df.where(F.col(lang_col).isNotNull() & (~held_out(id_col) if learnable is None else learnable))
+    rows = bound_batches(df).where(F.col(lang_col).isNotNull() & (~held_out(id_col) if learnable is None else learnable))
     sizes = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return fit([], np.zeros(DIMS))
@@ -200,7 +200,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names)
 
     schema = T.StructType([*df.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    return df.mapInArrow(run, schema)
+    return bound_batches(df).mapInArrow(run, schema)
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

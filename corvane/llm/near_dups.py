@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import Memo
-from corvane.llm.common import cut
+from corvane.llm.common import bound_batches, cut, without
 from corvane.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -116,6 +116,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys = pa.array([_key(s) if len(s) else None for s in sets], pa.binary())
                 signatures = pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 1024], keys, signatures], ["id", "key", "signature"])
+        _word_hashes().clear()  # the worker lives on, and other stages need its memory
 
     return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, key binary, signature binary")
 
@@ -216,7 +217,7 @@ def near_dups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sma
     its own id; so is, with a null class_id, one with a null id and no other id in its class. A text of fewer than
     five words is one shingle. An empty table gives no rows; other columns are ignored.
     """
-    prints = cut(fingerprints(df, id_col, text_col), "fingerprints")
+    prints = cut(fingerprints(bound_batches(df), id_col, text_col), "fingerprints")
     groups = prints.where("key is not null").groupBy("key").agg(F.min("id").alias("low"), F.any_value("signature").alias("signature"))
     nodes = cut(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = cut(nodes.select("node", "signature").mapInArrow(_bands, "bucket long, node long"), "bands")
@@ -285,5 +286,5 @@ def texts_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows with the smallest id of their class. Rows with a null id can't be told apart and stay, as do repeats of an id."""
-    first = near_dups(df.select(id_col, text_col), id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    return df.join(first, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    found = near_dups(df.select(id_col, text_col), id_col, text_col)
+    return without(df, id_col, found.where(F.col(id_col) != F.col("class_id")).select(id_col))

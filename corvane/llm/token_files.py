@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut
+from corvane.llm.common import bound_batches, cut
 
 MAGIC = b"CVRP0001"
 END_ID = 2
@@ -262,7 +262,7 @@ def write(df: DataFrame, tokenizer_file: str, end_id: int = END_ID, id_col: str
 
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     key, tie = F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)
-    placed = df.select(F.col(id_col).cast("long"), text_col).repartitionByRange(parts, key, tie).sortWithinPartitions(key, tie)
+    placed = bound_batches(df).select(F.col(id_col).cast("long"), text_col).repartitionByRange(parts, key, tie).sortWithinPartitions(key, tie)
     return cut(placed.mapInArrow(run, "part int, block int, docs long, tokens long, payload binary"), "token_blocks")
 
 
