@@ -13,14 +13,18 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corvane.llm.common import bound_batches
+
 #: Entries of each memo; a full memo is emptied, which bounds a worker's memory and changes no result.
-MEMO = 200_000
+MEMO = 300_000
 #: Matches longer than this are encoded afresh each time; texts longer than LONG_TEXT are split piece by piece.
 MEMO_PIECE, LONG_TEXT = 48, 4_000_000
 
@@ -100,7 +104,7 @@ class ByteBPE:
             if self.length[r] > 1:
                 self._find_halves(r)
         self.fits = Memo(self._fits)
-        self.pieces = Memo(self._encode_piece)
+        self.packed = Memo(lambda piece: array("I", self._encode_piece(piece)).tobytes())  # bytes are small, and the garbage collector skips them
         self.astral = re.compile("[^\0-\uffff]").search
         self.near, self.far = _spelled_out(pattern, 0x10000), None
         self.pattern = pattern
@@ -177,8 +181,12 @@ class ByteBPE:
             while part := list(islice(found, 100_000)):
                 yield part
 
+    def encode_packed(self, text: str) -> bytes:
+        """The ids as unsigned 32-bit integers, one after the other."""
+        return b"".join(chain.from_iterable(map(self.packed.__getitem__, part) for part in self.matches(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(chain.from_iterable(map(self.pieces.__getitem__, part) for part in self.matches(text))))
+        return np.frombuffer(self.encode_packed(text), np.uint32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -201,11 +209,13 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, len(texts), 256):  # small result batches: ids of few texts at a time
-                ids = pa.array([bpe.encode(t.as_py() or "") for t in texts[at : at + 256]], pa.list_(pa.int32()))
+                packed = [bpe.encode_packed(t.as_py() or "") for t in texts[at : at + 256]]
+                offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], ids], [id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return bound_batches(df).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -216,8 +226,24 @@ def decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                decoded = pa.array([bpe.decode(x.values.to_pylist() if x.is_valid else []) for x in part.column(1)], pa.binary())
+                decoded = pa.array([bpe.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in part.column(1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], [id_col, "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+    return bound_batches(df).select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+
+
+def round_trip(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ids, decoded: encode() and then decode() in one worker, for those who want both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(rank_file, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                ids = [np.frombuffer(bpe.encode_packed(t.as_py() or ""), np.int32) for t in batch.column(1)[at : at + 256]]
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                decoded = pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), decoded], [id_col, "ids", "decoded"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return bound_batches(df).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")

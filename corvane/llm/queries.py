@@ -52,7 +52,7 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def bpe_digests(documents: DataFrame) -> DataFrame:
-    coded = bpe.decode(bpe.encode(documents, RANK_FILE, public_tokenizers.PATTERN), RANK_FILE, public_tokenizers.PATTERN)
+    coded = bpe.round_trip(documents, RANK_FILE, public_tokenizers.PATTERN)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

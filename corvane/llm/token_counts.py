@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.bpe import ByteBPE, Memo, coder
+from corvane.llm.bpe import ByteBPE, coder
+from corvane.llm.common import bound_batches
 
 RULES = ("first", "last", "most")
 FIELDS = ["section", "start", "end", "n_tokens", "crossing"]
@@ -46,14 +47,14 @@ def _places(text: str, what: str) -> Iterator[int]:
 def token_spans(bpe: ByteBPE, piece: str) -> tuple[np.ndarray, np.ndarray]:
     """First character of each token, and the one after its last; a token of part of a character's bytes has all of it."""
     char_of = np.repeat(np.arange(len(piece)), [len(c.encode()) for c in piece])
-    ends = np.cumsum([bpe.length[i] for i in bpe.pieces[piece]])
+    ends = np.cumsum([bpe.length[i] for i in np.frombuffer(bpe.packed[piece], np.uint32)])
     return char_of[np.concatenate(([0], ends[:-1]))], char_of[ends - 1] + 1
 
 
-def attribute(bpe: ByteBPE, sizes: Memo, text: str, starts: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+def attribute(bpe: ByteBPE, text: str, starts: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens given to each section, and how many of them reach over its borders. starts: ascending from 0."""
     pieces = list(chain.from_iterable(bpe.matches(text)))
-    n = np.fromiter(map(sizes.__getitem__, pieces), np.int64, len(pieces))
+    n = np.fromiter(map(len, map(bpe.packed.__getitem__, pieces)), np.int64, len(pieces)) // 4
     ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
     begins = np.concatenate(([0], ends[:-1]))
     first, last = (np.searchsorted(starts, x, "right") - 1 for x in (begins, ends - 1))
@@ -84,7 +85,6 @@ def count_tokens(df: DataFrame, rank_file: str, pattern: str, rule: str = "first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(rank_file, pattern)
-        sizes = Memo(lambda piece: len(bpe.pieces[piece]))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, texts = batch.column(0).slice(at, 256), batch.column(1).slice(at, 256)
@@ -92,7 +92,7 @@ def count_tokens(df: DataFrame, rank_file: str, pattern: str, rule: str = "first
                 for text in texts:
                     text = text.as_py() or ""
                     starts = sections(text) if text else np.zeros(1, np.int64)
-                    counts, crossing = attribute(bpe, sizes, text, starts, rule) if text else (np.zeros(1, np.int64),) * 2
+                    counts, crossing = attribute(bpe, text, starts, rule) if text else (np.zeros(1, np.int64),) * 2
                     rows.append(len(starts))
                     parts.append((np.arange(len(starts)), starts, np.append(starts[1:], len(text)), counts, crossing))
                 columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)]
@@ -100,4 +100,4 @@ def count_tokens(df: DataFrame, rank_file: str, pattern: str, rule: str = "first
                 yield pa.RecordBatch.from_arrays([ids.take(of), *columns], [id_col, *FIELDS])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{f} long" for f in FIELDS))
+    return bound_batches(df).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{f} long" for f in FIELDS))

@@ -36,7 +36,10 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
         assert ours.decode(ours.encode(t)) == t.encode()
     rows = bpe.decode(bpe.encode(table(spark, ODD), RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
     assert sorted(bytes(r.decoded) for r in rows) == sorted([t.encode() for t in ODD] + [b"", ODD[0].encode()])
-    assert bpe.encode(table(spark, ODD).limit(0), RANKS, P.PATTERN).count() == 0
+    both = bpe.round_trip(table(spark, ODD), RANKS, P.PATTERN).collect()
+    key = lambda r: (str(r.doc_id), r.ids, bytes(r.decoded))
+    assert sorted(map(key, both)) == sorted(map(key, rows))
+    assert bpe.encode(table(spark, ODD).limit(0), RANKS, P.PATTERN).count() == bpe.round_trip(table(spark, ODD).limit(0), RANKS, P.PATTERN).count() == 0
 
 
 def test_long_text_in_pieces_and_full_memo(monkeypatch):
@@ -44,7 +47,7 @@ def test_long_text_in_pieces_and_full_memo(monkeypatch):
     text = "the quick  brown fox\n" * 500
     want = ours.encode(text)
     monkeypatch.setattr(bpe, "LONG_TEXT", 10)
-    ours.pieces.most = 3
+    ours.packed.most = 3
     assert ours.encode(text) == want
 
 
