@@ -101,19 +101,28 @@ def scan(queries: np.ndarray, codes: np.ndarray, centres: np.ndarray) -> np.ndar
 
 
 def best_of_block(query_ids, queries, row_ids, rows, codes, centres, k: int, rerank: int):
-    """query id, row id, exact score of the k best of this block for each query, best first, ties to the smaller id."""
+    """query id, row id, exact score of the k best ids of this block for each query, best first, ties to the smaller id.
+
+    An id with several vectors takes one place, with its best score; while fewer than k ids are found among the rows
+    scored exactly, four times as many are.
+    """
     for at in range(0, len(queries), 128):
         part = queries[at : at + 128]
         rough = scan(part, codes, centres)
         for i, q in enumerate(part):
-            score = rough[i]
-            if len(score) > rerank:
-                near = np.flatnonzero(score >= np.partition(score, len(score) - rerank)[len(score) - rerank])
-            else:
-                near = np.arange(len(score))
-            near = near[row_ids[near] != query_ids[at + i]]
+            score, take = rough[i], rerank
+            while True:
+                if len(score) > take:
+                    near = np.flatnonzero(score >= np.partition(score, len(score) - take)[len(score) - take])
+                else:
+                    near = np.arange(len(score))
+                near = near[row_ids[near] != query_ids[at + i]]
+                if take >= len(score) or len(np.unique(row_ids[near])) >= k:
+                    break
+                take *= 4
             exact = rows[near].astype(np.float64) @ q
-            order = np.lexsort((row_ids[near], -exact))[:k]
+            order = np.lexsort((row_ids[near], -exact))
+            order = order[np.sort(np.unique(row_ids[near[order]], return_index=True)[1])[:k]]
             yield query_ids[at + i], row_ids[near[order]], exact[order]
 
 
@@ -129,10 +138,13 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     Ties go to the smaller id; a query with fewer candidates gets them all. Rows with a null id, a null or zero vector,
     or a component that is null or not finite take no part; nor do vectors of another length than most. Rows that
-    repeat a query's id count as its own. An empty table gives no rows; other columns are ignored.
+    repeat a query's id count as its own. Rows alike in id and vector count once; of an id with different vectors each
+    is searched and asked, and a query_id lists a vec_id once, with the best score of their vectors. An empty table gives
+    no rows; other columns are ignored.
     """
     rows = usable(df, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).orderBy(F.desc("n"), "dims").limit(1).collect()
+    different = rows.select("id", F.size("v").alias("dims"), F.xxhash64("id", "v")).distinct()  # only counted: a collision of hashes does no harm
+    sizes = different.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).orderBy(F.desc("n"), "dims").limit(1).collect()
     result = "query_id long, vec_id long, score double"
     if not sizes:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -140,7 +152,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     rows = rows.where(F.size("v") == dims)
     order = hash60("fit:", F.col("id"))
     most = min(1.0, SAMPLE / n) * float(1 << 60)
-    sample = rows.where(order.cast("double") <= most).select(order.alias("order"), "v").orderBy("order").limit(2 * SAMPLE).toArrow()
+    sample = rows.where(order.cast("double") <= most).distinct().select(order.alias("order"), "v").orderBy("order").limit(2 * SAMPLE).toArrow()
     centres = fit(vectors(sample.column("v"), dims) if sample.num_rows else np.ones((1, dims)))
 
     def block(table: pa.Table) -> pa.Table:
@@ -154,8 +166,8 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     row_blocks, query_blocks = -(-n // ROW_BLOCK), max(1, -(-n_queries // QUERY_BLOCK))
     deal = lambda seed, count: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(count)).cast("int")
-    index = cut(rows.withColumn("block", deal("row", row_blocks)).groupBy("block").applyInArrow(block, "block int, ids binary, v binary, codes binary"), "vector_index")
-    asked = rows.where(F.col("id") % every == 0).withColumn("query_block", deal("query", query_blocks)).groupBy("query_block").applyInArrow(plain, "query_block int, query_ids binary, q binary")
+    index = cut(rows.distinct().withColumn("block", deal("row", row_blocks)).groupBy("block").applyInArrow(block, "block int, ids binary, v binary, codes binary"), "vector_index")
+    asked = rows.where(F.col("id") % every == 0).distinct().withColumn("query_block", deal("query", query_blocks)).groupBy("query_block").applyInArrow(plain, "query_block int, query_ids binary, q binary")
 
     def run(batches):
         for batch in batches:
@@ -170,7 +182,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
                 )
 
     met = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).repartition(max(1, row_blocks * query_blocks), "block", "query_block").join(asked, "query_block")
-    found = met.select("ids", "v", "codes", "query_ids", "q").mapInArrow(run, result).distinct()
+    found = met.select("ids", "v", "codes", "query_ids", "q").mapInArrow(run, result).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -101,6 +101,28 @@ def test_search_recall_ties_and_unusable_vectors(spark):
     assert [(r.query_id, r["rank"]) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_search_counts_repeated_rows_once_and_lists_an_id_once(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 24))
+    vectors_of = [[v] for v in x]
+    vectors_of[7] = [x[0] * 3 + 0.01 * rng.standard_normal(24) for _ in range(300)]  # nearest to query 0, more than are scored again at first
+    vectors_of[20].append(x[45])  # a query with two vectors
+    rows = [(i, v.tolist()) for i, own in enumerate(vectors_of) for v in own]
+    heavy = (9, (x[0] * 2).tolist())
+    rows = rows * 2 + [heavy] * 50
+    vectors_of[9].append(x[0] * 2)
+    got = inner_product.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).toPandas()
+    hit = 0
+    for i in range(0, 300, 20):
+        best = np.array([max(float(v @ q) for v in own for q in vectors_of[i]) for own in vectors_of])
+        order = [j for j in np.lexsort((np.arange(300), -best)) if j != i][:20]
+        mine = got[got.query_id == i].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21)) and mine.vec_id.is_unique and np.allclose(mine.score, best[mine.vec_id], atol=1e-9)
+        hit += len({*order} & {*mine.vec_id})
+    assert hit / 300 >= 0.9 and len(got) == 300
+    assert got[got.query_id == 0].sort_values("rank").vec_id.tolist()[:2] == [7, 9]
+
+
 def test_four_bit_codes_pay_more_for_the_parallel_error():
     x = np.random.default_rng(2).standard_normal((400, 16))
     centres = inner_product.fit(x)
