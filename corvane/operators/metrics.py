@@ -39,7 +39,7 @@ def bootstrap(values: DataFrame, resamples: int, draw: Callable[[Column, Column,
     draw(r, i, n) is the place drawn for position i of resample r. Values are one per question.
     """
     n = values.count()
-    grid = values.select(F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    grid = values.sparkSession.range(resamples).toDF("r").crossJoin(values.select(F.col("place").alias("i")))  # dealt by resample
     drawn = grid.select("r", draw(F.col("r"), F.col("i"), n).alias("place")).join(values, "place")
     means = drawn.groupBy("r").agg(F.round(F.avg("x"), 9).alias("m")).withColumn("k", F.row_number().over(Window.orderBy("m", "r")) - 1)
     lo, hi = int(round((1 - level) / 2 * resamples, 6)), min(resamples - 1, -int(-round((1 + level) / 2 * resamples, 6) // 1) - 1)

@@ -12,8 +12,8 @@ from corvane.plans.registry import query
 from corvane.plans.retrieval import _LANES, centroids, hits, vectors
 from corvane.sources import table
 
-#: Resamples of an interval, fewer than a report would use.
-RESAMPLES = 200
+#: Resamples of an interval.
+RESAMPLES = 10_000
 
 
 def targets(spark, d) -> DataFrame:

@@ -1,10 +1,13 @@
 """Lanes, fusion, reranking, state, graph, ingestion and metrics on small fixtures."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import corpus, features, ingest, lanes, metrics, postings, rank, temporal
+from corvane.plans import evaluation
 from corvane.streaming import ingest as streams
 
 
@@ -144,6 +147,16 @@ def test_bootstrap_of_constant_values(spark):
     assert tuple(metrics.bootstrap(v, 20, lambda r, i, n: (r + i) % n).first()) == (1.0, 1.0, 1.0)
 
 
+def test_bootstrap_query_draws_ten_thousand_resamples(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id").collect()
+    x = [float(label) for label, _ in sorted(tuple(r) for r in rows)]
+    n = len(x)
+    place = lambda r, i: int(hashlib.md5(f"boot:{r}:{i}".encode()).hexdigest()[:15], 16) % n
+    means = sorted(round(sum(x[place(r, i)] for i in range(n)) / n, 9) for r in range(10_000))
+    got = evaluation.bootstrap_ci(spark, sf_dir).first()
+    assert tuple(got) == pytest.approx((sum(x) / n, means[250], means[9749]), abs=1e-6)
+
+
 def test_failure_causes(spark):
     t, f = True, False
     cases = [((t, f, t, t, 0, 0, 1), "date_misparse"), ((f, t, t, t, 0, 0, 1), "filter_excluded"), ((f, f, f, f, 0, 0, None), "not_retrieved"), ((f, f, f, t, 0, 0, None), "lost_in_fusion"), ((f, f, t, t, 3, 0, 1), "crowded_by_dups"), ((f, f, t, t, 2, 5, 1), "entity_confusion"), ((f, f, t, t, 0, 0, 10), "lost_in_rerank"), ((f, f, t, t, 0, 0, 11), "lost_in_fusion")]
