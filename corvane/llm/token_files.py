@@ -2,7 +2,8 @@
 
 Documents are dealt to tasks by ranges of their id and sorted there; each task encodes its documents, appends the end
 id, and closes a block at BLOCK_TOKENS ids. A block is compressed by Re-Pair: the frequent pairs of neighbouring ids
-are replaced by new symbols (nonterminals), again and again, while a pair still repeats. A block holds its rules, the
+are replaced by new symbols (nonterminals), again and again, until no pair within documents occurs LEAST times. Where
+16-bit symbols run out it goes on with 32-bit ones, and the smaller of both results is kept. A block holds its rules, the
 length to which each expands, where each document starts among symbols, and the symbols, so one document is decoded
 without the others. Blocks are the rows of a Parquet table (part, block, payload), which any store can hold; part and
 block put them in ascending order of ids.
@@ -33,8 +34,8 @@ from corvane.llm.common import bound_batches, cut
 MAGIC = b"CVRP0001"
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
-#: Rounds of pair replacement at most, and how often a pair must occur for a rule to pay.
-ROUNDS, LEAST = 12, 4
+#: How often a pair must occur for a rule to pay.
+LEAST = 4
 MEMO, LONG_TEXT = 800_000, 4_000_000
 HASH_BITS = 16
 
@@ -124,16 +125,27 @@ def encoder(path: str) -> WordEncoder:
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """symbols, first symbol of each document, rules (n x 2), expansion lengths. starts: first id of each document."""
+    """symbols, first symbol of each document, rules (n x 2), expansion lengths. starts: first id of each document.
+
+    Symbols may come out wider than ids.
+    """
     wide = ids.dtype.itemsize > 2
     room = (1 << 31 if wide else 1 << 16) - terminals
     seq, starts = ids, starts.astype(np.int64)
     rules, lengths = [], np.ones(terminals, np.uint32)
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or room <= 0:
-            break
+    narrow = None
+    while len(seq) > 1:
+        if room <= 0:
+            if wide:
+                break
+            narrow, wide, room = (seq, starts, list(rules), lengths), True, (1 << 31) - len(lengths)
+            seq = seq.astype("<u4")
         pair = (seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]) if wide else (seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:])
-        ordered = np.sort(pair)
+        inside = np.ones(len(pair), bool)
+        inside[starts[1:][(starts[1:] > 0) & (starts[1:] <= len(pair))] - 1] = False  # never across two documents
+        ordered = np.sort(pair[inside])
+        if not len(ordered):
+            break
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         times = np.diff(np.append(first, len(ordered)))
         often = np.flatnonzero(times >= LEAST)
@@ -152,9 +164,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
         table_at = np.zeros(1 << HASH_BITS, np.int64)
         table_pair[slot], table_at[slot] = chosen, np.arange(len(chosen))
         where = spread(pair)
-        match = table_pair[where] == pair
-        match[starts[1:][(starts[1:] > 0) & (starts[1:] <= len(match))] - 1] = False  # never across two documents
-        hit = np.flatnonzero(match)
+        hit = np.flatnonzero((table_pair[where] == pair) & inside)
         if not len(hit):
             break
         run = np.concatenate(([True], np.diff(hit) > 1))
@@ -162,7 +172,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
         used, rule = np.unique(table_at[where[hit]], return_inverse=True)
         new = chosen[used]
         left, right = (new >> 32, new & np.uint64(0xFFFFFFFF)) if wide else (new >> 16, new & np.uint32(0xFFFF))
-        rules.append(np.stack([left, right], 1).astype(ids.dtype))
+        rules.append(np.stack([left, right], 1))
         symbol = len(lengths) + rule
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
         room -= len(used)
@@ -172,12 +182,15 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
         keep[hit + 1] = False
         seq = seq[keep]
         starts = starts - np.searchsorted(hit, starts)
-    return seq, starts, np.concatenate(rules) if rules else np.zeros((0, 2), ids.dtype), lengths[terminals:]
+    size = lambda seq, lengths: len(seq) * seq.itemsize + (len(lengths) - terminals) * (2 * seq.itemsize + 4)
+    if narrow and size(narrow[0], narrow[3]) <= size(seq, lengths):
+        seq, starts, rules, lengths = narrow
+    return seq, starts, np.concatenate(rules).astype(seq.dtype) if rules else np.zeros((0, 2), seq.dtype), lengths[terminals:]
 
 
 def pack(doc_ids: list[int | None], ids: np.ndarray, starts: np.ndarray, terminals: int) -> bytes:
     seq, at, rules, lengths = compress(ids, starts, terminals)
-    head = struct.pack("<6Q", ids.dtype.itemsize, terminals, len(doc_ids), len(rules), len(seq), len(ids))
+    head = struct.pack("<6Q", seq.dtype.itemsize, terminals, len(doc_ids), len(rules), len(seq), len(ids))
     nulls = np.array([i is None for i in doc_ids], np.uint8)
     body = MAGIC + head + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + nulls.tobytes() + at.astype("<u4").tobytes() + rules.tobytes() + lengths.astype("<u4").tobytes() + seq.tobytes()
     return body + struct.pack("<I", zlib.crc32(body))

@@ -4,6 +4,7 @@ import base64
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -72,6 +73,19 @@ def test_repair_round_trip_and_random_access():
             token_files.Block(payload[:-9] + b"\0" * 9)
 
 
+@pytest.mark.parametrize(("length", "terminals"), [(3000, 40_000), (20_000, 49_000), (50, 65_536)])
+def test_pair_replacement_goes_on_until_no_pair_repeats(length, terminals):
+    ids = np.tile(np.random.default_rng(6).integers(0, terminals, length), 20).astype("<u2")
+    ids = np.concatenate([ids, np.zeros(5000, "<u2")])
+    starts = np.array([0, 5 * length, 5 * length, len(ids)])  # two of them empty
+    seq, at, _, _ = token_files.compress(ids, starts, terminals)
+    inside = ~np.isin(np.arange(1, len(seq)), at)
+    left = Counter(zip(seq[:-1][inside].tolist(), seq[1:][inside].tolist(), strict=True))
+    assert max(left.values(), default=0) < token_files.LEAST
+    block = token_files.Block(token_files.pack([1, 2, 3, 4], ids, starts, terminals))
+    assert all(np.array_equal(block.ids(k), part) for k, part in enumerate(np.split(ids, starts[1:])))
+
+
 def test_token_files_ascending_starts(spark):
     theirs = Tokenizer.from_file(WORDS)
     got = token_files.read(token_files.write(table(spark, ODD), WORDS, block_tokens=300)).collect()
