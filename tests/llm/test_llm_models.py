@@ -14,11 +14,12 @@ from corvane.llm.components import components
 
 
 def brute_near(rows):
-    sets = {}
+    sets, text = {}, dict(rows)
     for i, t in rows:
         w = (t or "").lower().split()
         sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
     different = list({s for s in sets.values() if s})
+    texts = {s: {text[i] for i in sets if sets[i] == s} for s in different}
     links = {s: [o for o in different if o != s and len(s & o) >= 0.8 * len(s | o) - 1e-9] for s in different}
     out = {}
     for i, s in sets.items():
@@ -30,7 +31,7 @@ def brute_near(rows):
             new = [o for o in links[todo.pop()] if o not in seen]
             seen.update(new)
             todo += new
-        out[i] = (min(j for j, t in sets.items() if t in seen), len(links[s]))
+        out[i] = (min(j for j, t in sets.items() if t in seen), len(texts[s]) - 1 + sum(len(texts[o]) for o in links[s]))
     return out
 
 
@@ -60,9 +61,51 @@ def test_near_dups_in_blocks_and_in_pairs(spark, near_rows, sizes):
 def test_near_dups_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "one two three four five six"), (7, "ONE two three four five six"), (7, "ONE two three four five six"), (7, "other text"), (None, "alone")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in near_dups.near_dups(df).collect())
-    assert got == [("7", "7", 0)] * 3 + [("None", "7", 0), ("None", "None", 0)]
+    assert got == [("7", "7", 0), ("7", "7", 1), ("7", "7", 1), ("None", "7", 1), ("None", "None", 0)]
     assert near_dups.near_dups(df.limit(0)).count() == 0
-    assert near_dups.keep_one(df).count() == 5
+    assert sorted((str(r.doc_id), r.text) for r in near_dups.keep_one(df).collect()) == [("7", "ONE two three four five six"), ("7", "other text"), ("None", "alone")]
+
+
+def test_keep_one_loses_no_text_of_a_repeated_id(spark):
+    a = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, a, "x"), (7, a + " more", "x"), (7, "a wholly different text of seven words", "x"), (None, a + " again", "x"), (None, "", "x"), (9, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_number string").repartition(3)
+    out = near_dups.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.where("text is null or text = '' or doc_id = 3 or text like 'a wholly%'").collect()))
+    assert near_dups.keep_one(df.limit(0)).count() == 0
+    as_text = near_dups.keep_one(df.where("doc_id is not null and text is not null").dropDuplicates(["doc_id"]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
+    assert "d3" in {r.doc_id for r in as_text.collect()}
+
+
+def test_crowded_group_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK_BYTES", 200_000)
+    base = " ".join(f"w{i % 977}x{i}" for i in range(6000))
+    rows = [(i, base + " tail" * (i % 3) + f" end{i}") for i in range(70)] + [(500 + i, f"w{i} alone {i} of five words {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dups.near_dups(df, small=4).collect()}
+    assert got == brute_near(rows)
+
+
+def test_crowded_pairs_are_pruned_before_they_are_verified():
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 62, 300, np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 62, n, np.uint64)])) for n in (10, 12, 700, 800)]
+
+    def cell(of):
+        c = near_dups.Cell.__new__(near_dups.Cell)
+        c.sizes, c.shingles, c.nodes = np.array([len(s) for s in of]), np.concatenate(of), np.arange(len(of))
+        c.signatures = np.stack([near_dups.signature(s) for s in of])
+        c.owner, c.crowded = np.repeat(c.nodes, c.sizes), np.ones((len(of), near_dups.BANDS), np.int64)
+        return c
+
+    x = cell(sets)
+    p, q = near_dups._candidates(x, x, True)
+    assert list(zip(p, q)) == [(0, 1)]
+    every = np.nonzero(np.ones((4, 4)))
+    assert near_dups._shared(x, x, *every).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(*every)]
+    x.crowded = np.arange(4 * near_dups.BANDS).reshape(4, -1)
+    assert len(near_dups._candidates(x, x, True)[0]) == 0
 
 
 def test_pruning_keeps_pairs_at_the_threshold():
