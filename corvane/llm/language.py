@@ -3,9 +3,10 @@
 Texts become counts of hashed character n-grams (letters only, lower case, words padded by a blank). Document
 frequencies over all training documents weigh them (TF-IDF, unit length); a sparse multinomial logistic regression is
 trained with follow-the-regularised-leader, proximal form, with an elastic net; one temperature, fitted on part of the
-sample that training doesn't see, calibrates the probabilities. The regression is trained on a bounded sample:
-PER_LANGUAGE documents a language are expected of at most MAX_LANGUAGES, the most frequent. Everything else, the
-document frequencies and the predictions, covers every document and whole texts.
+sample that training doesn't see, calibrates the probabilities. The regression is trained on a bounded sample of about
+PER_LANGUAGE documents a language, or of about SAMPLE in all where languages are many, and of one document of every
+language at least. Everything else, the document frequencies and the predictions, covers every document and whole texts.
+Training keeps weights only for dimensions that the sample has, and the model only those that the net leaves.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from corvane.llm.common import bound_batches, free_name, hash60
 
 BITS, GRAMS = 15, (1, 2, 3)
 DIMS = 1 << BITS
-PER_LANGUAGE, MAX_LANGUAGES = 700, 200
-EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 1.0, 1e-4, 1e-4
+PER_LANGUAGE, SAMPLE = 700, 140_000
+EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 1.0, 0.2, 1e-4
 #: Share of the sample that only fits the temperature.
 CALIBRATION = 0.25
 UND = "und"
@@ -65,8 +66,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
 
 @dataclass
 class Model:
+    """weights has a row for each dimension in which a language has a weight; row gives its place, -1 for none."""
+
     languages: list[str]
     idf: np.ndarray
+    row: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
@@ -75,11 +79,15 @@ class Model:
         x = (1 + np.log(counts)) * self.idf[at]
         return x / max(float(np.sqrt(x @ x)), 1e-12)
 
+    def logits(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        row = self.row[at]
+        return x[row >= 0] @ self.weights[row[row >= 0]] + self.bias
+
     def predict(self, text: str | None) -> tuple[str, float]:
         found = features(text)
         if found is None or not self.languages:
             return UND, 0.0
-        p = softmax((self.vector(*found) @ self.weights[found[0]] + self.bias) / self.temperature)
+        p = softmax(self.logits(found[0], self.vector(*found)) / self.temperature)
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -106,33 +114,57 @@ class Ftrl:
         self.n[at] = more
 
 
+def calibrate(logits: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of the least log loss: loss is convex in its inverse, whose root Newton's steps inside a bracket find."""
+
+    def slope(inverse: float) -> float:
+        p = softmax(logits * inverse)
+        return float(((p * logits).sum(1) - logits[np.arange(len(truth)), truth]).mean())
+
+    lo, hi = 1e-6, 1e6
+    if slope(hi) <= 0:  # no mistake: the loss falls for ever, and any temperature that keeps some doubt will do
+        hi = 1.0
+        while np.min(softmax(logits * hi).max(1)) < 0.999 and hi < 1e6:
+            hi *= 1.1
+        return 1 / hi
+    if slope(lo) >= 0:
+        return 1 / lo
+    for _ in range(80):
+        middle = float(np.sqrt(lo * hi))
+        lo, hi = (middle, hi) if slope(middle) < 0 else (lo, middle)
+    return float(1 / np.sqrt(lo * hi))
+
+
 def fit(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
     """rows: language, whether for calibration, dimensions, counts; in an order of their own."""
     languages = sorted({r[0] for r in rows})
+    row = np.full(DIMS, -1, np.int32)
     if not languages:
-        return Model([], idf, np.zeros((DIMS, 0), np.float32), np.zeros(0))
-    model = Model(languages, idf, np.zeros((DIMS, len(languages))), np.zeros(len(languages)))
+        return Model([], idf, row, np.zeros((0, 0), np.float32), np.zeros(0))
+    used = np.unique(np.concatenate([r[2] for r in rows]))
+    row[used] = np.arange(len(used))
+    model = Model(languages, idf, row, np.zeros((len(used), len(languages))), np.zeros(len(languages)))
     label = {name: i for i, name in enumerate(languages)}
     data = [(label[name], held, at, model.vector(at, counts)) for name, held, at, counts in rows]
-    train = [d for d in data if not d[1]] or data
-    ftrl, bias_at, rng = Ftrl(DIMS + 1, len(languages)), np.array([DIMS]), np.random.default_rng(7)
+    seen = {y for y, held, _, _ in data if not held}
+    train = [d for d in data if not d[1] or d[0] not in seen]  # a language with calibration rows only is learned from them
+    ftrl, bias_at, rng = Ftrl(len(used) + 1, len(languages)), np.array([len(used)]), np.random.default_rng(7)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(train)):
             y, _, at, x = train[i]
-            at = np.append(at, bias_at)
+            at = np.append(row[at], bias_at)
             x = np.append(x, 1.0)
             w = ftrl.weights(at)
             p = softmax(x @ w)
             p[y] -= 1
             ftrl.step(at, w, x[:, None] * p)
     weights = ftrl.weights()
-    model.weights, model.bias = weights[:DIMS].astype(np.float32), weights[DIMS]
+    left = np.flatnonzero(weights[:-1].any(1))
+    model.row = np.full(DIMS, -1, np.int32)
+    model.row[used[left]] = np.arange(len(left))
+    model.weights, model.bias = weights[left].astype(np.float32), weights[-1]
     held = [d for d in data if d[1]] or data
-    logits = np.array([x @ model.weights[at] + model.bias for _, _, at, x in held])
-    truth = np.array([d[0] for d in held])
-    grid = np.geomspace(0.05, 20, 121)
-    loss = [-np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
-    model.temperature = float(grid[int(np.argmin(loss))])
+    model.temperature = calibrate(np.array([model.logits(at, x) for _, _, at, x in held]), np.array([d[0] for d in held]))
     return model
 
 
@@ -142,9 +174,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learnable: Column | None = None) -> Model:
-    """A model of the learnable rows (by default those that held_out() leaves) with a language."""
+    """A model of the learnable rows (by default those that held_out() leaves) with a language; every language is learned.
+
+    Of a language with more rows than its part of the sample, rows are drawn by a hash of their id; that with the
+    smallest hash always is. The sample and the weights are on the driver, as is a count for each language.
+    """
     rows = bound_batches(df).where(F.col(lang_col).isNotNull() & (~held_out(id_col) if learnable is None else learnable))
-    sizes = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    order = hash60("lang:", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    sizes = rows.groupBy(F.col(lang_col).alias("size_lang")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).collect()
     if not sizes:
         return fit([], np.zeros(DIMS))
 
@@ -172,11 +209,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             columns += [pa.array([o[2][k].astype(np.int32) for o in out], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "order", "dims", "counts"])
 
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col(lang_col) == r.lang, F.lit(min(1.0, PER_LANGUAGE / r.n))).otherwise(share)
-    order = hash60("lang:", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    picked = rows.where(order < (share * F.lit(float(1 << 60)))).select(lang_col, order.alias("order"), text_col)
+    each = min(float(PER_LANGUAGE), SAMPLE / len(sizes))
+    bounds = [(r.size_lang, max(r.first, int(min(1.0, each / r.n) * (1 << 60)))) for r in sizes]
+    bounds = F.broadcast(df.sparkSession.createDataFrame(bounds, "bound_lang string, bound long"))  # no more rows than were just collected
+    picked = rows.select(F.col(lang_col).cast("string").alias("lang"), order.alias("order"), F.col(text_col).alias("text"))
+    picked = picked.join(bounds, (F.col("lang") == F.col("bound_lang")) & (F.col("order") <= F.col("bound"))).select("lang", "order", "text")
     got = picked.mapInArrow(sampled, "lang string, order long, dims array<int>, counts array<int>").toArrow().sort_by([("order", "ascending"), ("lang", "ascending")])
     data = [
         (lang.as_py(), order.as_py() % 1000 < 1000 * CALIBRATION, dims.values.to_numpy(), counts.values.to_numpy())

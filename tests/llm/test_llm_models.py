@@ -193,6 +193,46 @@ def test_language_learns_only_from_its_fold(spark, sf_dir):
     assert a == b
 
 
+def test_regression_is_sparse_and_calibrated(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.train(df)
+    assert (model.weights != 0).sum() < 0.1 * language.DIMS * len(model.languages) and 0 < len(model.weights) < language.DIMS / 2
+    rng = np.random.default_rng(0)
+    logits = rng.standard_normal((4000, 3)) * 4
+    for scale in (0.01, 0.3, 1.0, 30.0):
+        p = language.softmax(logits)
+        truth = (p.cumsum(1) < rng.random((4000, 1))).sum(1)
+        assert language.calibrate(logits * scale, truth) == pytest.approx(scale, rel=0.15)
+    sure = np.eye(3)[[0, 1, 2] * 20] * 0.001
+    t = language.calibrate(sure, np.array([0, 1, 2] * 20))
+    assert 0.998 < language.softmax(sure / t).max(1).min() < 1
+
+
+def test_ftrl_equals_plain_formulas():
+    """One language against another, weights worked out coordinate by coordinate from the sums of the published method."""
+    rng = np.random.default_rng(1)
+    fast, z, n = language.Ftrl(6, 2), np.zeros((6, 2)), np.zeros((6, 2))
+    for _ in range(40):
+        at, g = rng.choice(6, 3, replace=False), rng.standard_normal((3, 2))
+        w = fast.weights(at)
+        for i, k in enumerate(at):
+            for c in range(2):
+                plain = 0.0 if abs(z[k, c]) <= language.L1 else -(z[k, c] - np.sign(z[k, c]) * language.L1) / ((language.BETA + n[k, c] ** 0.5) / language.ALPHA + language.L2)
+                assert w[i, c] == pytest.approx(plain)
+                z[k, c] += g[i, c] - ((n[k, c] + g[i, c] ** 2) ** 0.5 - n[k, c] ** 0.5) / language.ALPHA * plain
+                n[k, c] += g[i, c] ** 2
+        fast.step(at, w, g)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 2600)
+    letters = [chr(0x4E00 + i) for i in range(260)]
+    rows = [(1000 * i + k, c * 30, f"l{i:03d}") for i, c in enumerate(letters) for k in range(9)] + [(10**6 + k, letters[0] * 20, "l000") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = language.train(df, learnable=F.lit(True))
+    assert len(model.languages) == 260 and sum(model.predict(c * 12)[0] == f"l{i:03d}" for i, c in enumerate(letters)) > 250
+
+
 def test_language_edge_cases(spark):
     rows = [(i, "der die das und nicht " * 5 if i % 2 else "the and of to in " * 5, "de" if i % 2 else "en") for i in range(60)] + [(100, None, "en"), (101, "", None), (102, "123 !?", "de"), (103, "the and of " * 90_000, None), (None, "und nicht", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
