@@ -75,6 +75,28 @@ def test_exact_dedup_hot_group_repeats_and_null_ids(spark):
     assert dedup.exact_dedup(df.limit(0)).count() == 0
 
 
+def test_runs_are_sorted_where_they_are_read_and_merged_in_rounds(spark):
+    df = docs(spark, [(i, f"t{i % 50}" if i % 3 else "hot", "s") for i in range(2000)]).repartition(21)
+    prints = dedup.cut(dedup.fingerprints(df), "prints")
+    want = sorted(map(str, prints.groupBy(*dedup.KEY).agg(F.min_by("id", F.struct(-F.col("n"), "id")).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).collect()))
+    assert sorted(map(str, dedup.merge_runs(prints).collect())) == want
+    for runs, rounds in ((64, 3), (1, 1), (1024, 5)):
+        merged = dedup.merge_runs(prints, runs)
+        assert sorted(map(str, merged.collect())) == want
+        plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning(lane") == rounds and plan.count("Exchange") == rounds
+        assert plan.count("REPARTITION_BY_NUM") == rounds - 1  # later rounds deal by lane and run, and don't shuffle again to aggregate
+
+
+def test_keep_unique_with_repeated_ids_keeps_one_row_of_each_text(spark):
+    rows = [(5, "a b", "x"), (5, "ab", "x"), (5, "c", "x"), (6, "c", "y"), (None, "d", "z"), (None, "d ", "z"), (7, None, "w"), (7, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_number string").repartition(4)
+    out = dedup.keep_unique(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == [("5", "a b"), ("5", "c"), ("7", ""), ("None", "d ")]
+    assert dedup.keep_unique(df.limit(0)).count() == 0
+
+
 def test_mix_expectation_and_determinism(spark):
     df = docs(spark, [(i, "t", "big" if i % 3 else "small") for i in range(3000)])
     out = mixing.mix(df, weights={"big": 1, "small": 1})
