@@ -1,5 +1,6 @@
 """Sharding, mixing, exact deduplication and URL rules: small tables with nulls, ties, repeats and clashing names."""
 
+import random
 import re
 from collections import Counter
 
@@ -131,9 +132,29 @@ def test_url_rules_against_brute_force(spark):
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.net", "/en/x/"), ("allow", "a.example.net", "/"), ("block", "org", ""), ("allow", "", "/ok")]
     urls = [None, "", "x", "http://", "http://net", "http://net/", "https://Example.NET/en/y", "http://a.example.net/en/x/1", "http://b.example.net/en/x/", "ftp://notexample.net/en/", "http://example.net?/en/", "http://org#x", "x.org", "http://q.org/a://b", "http://net./", "http://.net/", "/ok", "://x/ok", "http://ÀB.net/en/", "http://example.net/en/\U0010ffffz", "http://example.net/en/\n\x00"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(0, None, "z"), (None, "http://net/", "z")], "page_id long, url string, rule string").repartition(4)
-    got = [tuple(r) for r in url_rules.judge(pages, url_rules.rule_table(spark, rules)).collect()]
+    got = [tuple(r) for r in url_rules.judge(pages, url_rules.rule_table(spark, rules), spread=2, chunk=2).collect()]
     want = [(i, *brute_judge(u, rules)) for i, u in enumerate(urls)] + [(0, *brute_judge(None, rules)), (None, *brute_judge("http://net/", rules))]
     key = lambda r: tuple(map(str, r))
     assert sorted(got, key=key) == sorted(want, key=key)
     assert {r.verdict for r in url_rules.judge(pages, url_rules.rule_table(spark, [])).collect()} == {"allow"}
     assert url_rules.judge(pages.limit(0), url_rules.rule_table(spark, rules)).count() == 0
+
+
+def test_url_rules_of_one_host_in_chunks(spark):
+    rng = random.Random(4)
+    some = lambda n: "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, n)))
+    rules = [(rng.choice(["block", "allow"]), rng.choice(["x.org", "x.org", "y.x.org"]), some(7)) for _ in range(150)]
+    rules = [(v, h, p) for v, h, p in rules if v == "block" or ("block", h, p) not in rules]
+    urls = [f"http://{rng.choice(['x.org', 'y.x.org', 'z.y.x.org', 'x.com'])}{some(12)}" for _ in range(400)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
+    for chunk in (1, 4, 1000):
+        got = [tuple(r) for r in url_rules.judge(pages, url_rules.rule_table(spark, rules), spread=50, chunk=chunk).collect()]
+        assert sorted(got) == [(i, *brute_judge(u, rules)) for i, u in enumerate(urls)]
+
+
+def test_url_rules_a_million_labels_and_a_million_rules(spark):
+    long_host = "a." * 1_000_000 + "x.org"
+    pages = spark.createDataFrame([(1, f"http://{long_host}/p/7/y"), (2, "http://x.org/" + "q" * 1_000_000), (3, "http://x.org/p/999999/deep"), (4, "q" * 2_000_000)], "page_id long, url string")
+    rules = spark.range(1_000_000).select(F.when(F.col("id") % 2 == 0, "allow").otherwise("block").alias("verdict"), F.lit("x.org").alias("host"), F.concat(F.lit("/p/"), "id", F.lit("/")).alias("path"))
+    got = {r.page_id: (len(r.host), r.rule, r.verdict) for r in url_rules.judge(pages, rules).collect()}
+    assert got == {1: (len(long_host), "x.org/p/7/", "block"), 2: (5, None, "allow"), 3: (5, "x.org/p/999999/", "block"), 4: (0, None, "allow")}
