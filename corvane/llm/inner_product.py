@@ -5,10 +5,14 @@ anisotropic error, in which the part of the residual parallel to the vector, the
 matter, costs ETA times the rest; codes are chosen by coordinate descent and centres by solving the weighted least
 squares over all of them together. The centres are fitted on a bounded SAMPLE; every row is coded and searched.
 
-Rows and queries are dealt into blocks of bounded size. For a block of each, the tables of inner products between a
-query and all centres (joined two by two, so one byte of code is one look-up) score every row; the best RERANK of the
-block, and whatever ties with the last of them, are scored again exactly, in double precision, on the original
-vectors. What a query keeps of each block meets in a top-k by query.
+Rows become blocks of codes where they are read; vectors stay behind. A block of codes and a block of queries meet in
+a task, where the tables of inner products between a query and all centres (joined two by two, so one byte of code is
+one look-up) score every row. A query keeps its `rerank` ids with the highest such scores, in the task and then over
+all tasks. Only then vectors move: those of rows that some query of a block has kept, once a block, to be scored
+exactly, in double precision, against the original queries. The best k of a query come last.
+
+The scan looks at all pairs of queries and codes: time grows with rows times queries. What moves: the codes once per
+block of queries (QUERY_BYTES), the queries once per SLICE row blocks, a few numbers for each kept id, kept vectors.
 """
 
 from __future__ import annotations
@@ -18,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, hash60
+from corvane.llm.common import bound_batches, cut, hash60
 
 CENTRES, SAMPLE, ROUNDS = 16, 4096, 3
-ROW_BLOCK, QUERY_BLOCK, RERANK = 16_384, 2_048, 256
+ROW_BLOCK, QUERY_BLOCK, SLICE = 8_192, 512, 32
+#: Bytes of a block of queries at most, where there are more than 32 blocks of QUERY_BLOCK; of a block's vectors to be scored exactly.
+QUERY_BYTES, EXACT_BYTES = 16 << 20, 64 << 20
 #: Scores above this share of the norms' product are the ones to get right.
 THRESHOLD = 0.2
 
@@ -100,92 +106,159 @@ def scan(queries: np.ndarray, codes: np.ndarray, centres: np.ndarray) -> np.ndar
     return total
 
 
-def best_of_block(query_ids, queries, row_ids, rows, codes, centres, k: int, rerank: int):
-    """query id, row id, exact score of the k best ids of this block for each query, best first, ties to the smaller id.
+def rerank_of(n: int) -> int:
+    """How many ids a query keeps of n rows for exact scoring: more among more."""
+    return int(256 * max(1.0, n / 16_384) ** 0.25)
+
 
-    An id with several vectors takes one place, with its best score; while fewer than k ids are found among the rows
-    scored exactly, four times as many are.
+class Kept:
+    """The rows with the highest approximate scores for each query of a block.
+
+    Of `most` ids, the nearest, each with at most `most` rows: where ids repeat, no id can crowd out the others.
     """
-    for at in range(0, len(queries), 128):
-        part = queries[at : at + 128]
-        rough = scan(part, codes, centres)
-        for i, q in enumerate(part):
-            score, take = rough[i], rerank
-            while True:
-                if len(score) > take:
-                    near = np.flatnonzero(score >= np.partition(score, len(score) - take)[len(score) - take])
-                else:
-                    near = np.arange(len(score))
-                near = near[row_ids[near] != query_ids[at + i]]
-                if take >= len(score) or len(np.unique(row_ids[near])) >= k:
-                    break
-                take *= 4
-            exact = rows[near].astype(np.float64) @ q
-            order = np.lexsort((row_ids[near], -exact))
-            order = order[np.sort(np.unique(row_ids[near[order]], return_index=True)[1])[:k]]
-            yield query_ids[at + i], row_ids[near[order]], exact[order]
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, centres: np.ndarray, most: int, repeats: bool):
+        self.query_ids, self.queries, self.centres, self.most, self.repeats = query_ids, queries, centres, most, repeats
+        self.lists = [(np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> None:
+        for at in range(0, len(self.queries), 128):
+            rough = scan(self.queries[at : at + 128], codes, self.centres)
+            top = None
+            if not self.repeats and rough.shape[1] > self.most + 1:  # one more than needed: the query's own row may be among them
+                top = np.argpartition(rough, rough.shape[1] - self.most - 1, axis=1)[:, -self.most - 1 :]
+            for i, score in enumerate(rough, at):
+                pick = slice(None) if top is None else top[i - at]
+                own = ids[pick] != self.query_ids[i]
+                held = self.lists[i]
+                self.lists[i] = self._best(*(np.concatenate([h, new[pick][own]]) for h, new in zip(held, (score, rows, ids), strict=True)))
+
+    def _best(self, score: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.repeats:
+            if len(score) <= self.most:
+                return score, rows, ids
+            order = np.argpartition(score, len(score) - self.most)[-self.most :]
+            return score[order], rows[order], ids[order]
+        order = np.lexsort((rows, -score))
+        _, first, place, size = np.unique(ids[order], return_index=True, return_inverse=True, return_counts=True)
+        by_id = np.argsort(place, kind="stable")
+        nth = np.empty(len(order), np.int64)
+        nth[by_id] = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+        order = order[(np.argsort(np.argsort(first))[place] < self.most) & (nth < self.most)]
+        return score[order], rows[order], ids[order]
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v (array of double) of the rows that take part."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    """id, v of the rows that take part; v is an array of float where the column is one, else of double."""
+    kind = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).where("id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
-def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
+def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose id is divisible by every, its k nearest other rows.
 
     Ties go to the smaller id; a query with fewer candidates gets them all. Rows with a null id, a null or zero vector,
     or a component that is null or not finite take no part; nor do vectors of another length than most. Rows that
     repeat a query's id count as its own. Rows alike in id and vector count once; of an id with different vectors each
-    is searched and asked, and a query_id lists a vec_id once, with the best score of their vectors. An empty table gives
-    no rows; other columns are ignored.
+    is searched and asked, and a query_id lists a vec_id once, with the best score of their vectors. Ids are integers,
+    others are refused. An empty table gives no rows; other columns are ignored.
     """
-    rows = usable(df, id_col, vector_col)
-    different = rows.select("id", F.size("v").alias("dims"), F.xxhash64("id", "v")).distinct()  # only counted: a collision of hashes does no harm
-    sizes = different.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).orderBy(F.desc("n"), "dims").limit(1).collect()
-    result = "query_id long, vec_id long, score double"
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} must be an integer")
+    spark = df.sparkSession
+    base = cut(bound_batches(usable(df, id_col, vector_col)).distinct().withColumn("row", F.monotonically_increasing_id()), "vectors")
+    sizes = base.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).orderBy(F.desc("n"), "dims").limit(1).collect()
     if not sizes:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, n, n_queries = sizes[0]
-    rows = rows.where(F.size("v") == dims)
+    base = base.where(F.size("v") == dims)
+    repeats = not base.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    most = max(k, rerank_of(n) if rerank is None else rerank)
     order = hash60("fit:", F.col("id"))
-    most = min(1.0, SAMPLE / n) * float(1 << 60)
-    sample = rows.where(order.cast("double") <= most).distinct().select(order.alias("order"), "v").orderBy("order").limit(2 * SAMPLE).toArrow()
-    centres = fit(vectors(sample.column("v"), dims) if sample.num_rows else np.ones((1, dims)))
+    share = min(1.0, SAMPLE / n) * float(1 << 60)
+    sample = base.where(order.cast("double") <= share).select(order.alias("order"), "v").orderBy("order").limit(2 * SAMPLE).toArrow()
+    centres = fit(vectors(sample.column("v"), dims).astype(np.float64) if sample.num_rows else np.ones((1, dims)))
 
-    def block(table: pa.Table) -> pa.Table:
-        v = vectors(table.column("v"), dims)
-        codes = assign(v, centres, eta(dims))
-        packed = (codes[:, 0::2] * CENTRES + codes[:, 1::2]).astype(np.uint8)
-        return pa.table({"block": table.column("block")[:1], "ids": [table.column("id").to_numpy().tobytes()], "v": [v.tobytes()], "codes": [packed.tobytes()]})
+    query_blocks = max(1, min(32, -(-n_queries // QUERY_BLOCK)), -(-n_queries * dims * 8 // QUERY_BYTES))
+    slices = -(-n // (ROW_BLOCK * SLICE))
+    rest = -(-n_queries // query_blocks * most * dims * 4 // EXACT_BYTES)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    def plain(table: pa.Table) -> pa.Table:
-        return pa.table({"query_block": table.column("query_block")[:1], "query_ids": [table.column("id").to_numpy().tobytes()], "q": [vectors(table.column("v"), dims).tobytes()]})
+    def index(batches):
+        held = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(at, ROW_BLOCK)
+                codes = assign(vectors(part.column(2), dims).astype(np.float64), centres, eta(dims))
+                held.append((part.column(0).to_numpy(), part.column(1).to_numpy(), (codes[:, 0::2] * CENTRES + codes[:, 1::2]).astype(np.uint8)))
+                if sum(len(h[0]) for h in held) >= ROW_BLOCK:
+                    yield block(held)
+                    held = []
+        if held:
+            yield block(held)
+
+    def block(held):
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(c).tobytes()], pa.binary()) for c in zip(*held, strict=True)], ["rows", "ids", "codes"])
 
-    row_blocks, query_blocks = -(-n // ROW_BLOCK), max(1, -(-n_queries // QUERY_BLOCK))
-    deal = lambda seed, count: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(count)).cast("int")
-    index = cut(rows.distinct().withColumn("block", deal("row", row_blocks)).groupBy("block").applyInArrow(block, "block int, ids binary, v binary, codes binary"), "vector_index")
-    asked = rows.where(F.col("id") % every == 0).distinct().withColumn("query_block", deal("query", query_blocks)).groupBy("query_block").applyInArrow(plain, "query_block int, query_ids binary, q binary")
+    def plain(table: pa.Table) -> pa.Table:
+        return pa.table({"query_block": table.column("query_block")[:1], "query_ids": [table.column("id").to_numpy().tobytes()], "q": [vectors(table.column("v"), dims).astype(np.float64).tobytes()]})
 
-    def run(batches):
+    def scanned(batches):
+        kept, now = None, None
         for batch in batches:
-            for ids, v, codes, query_ids, q in zip(*(batch.column(c) for c in ("ids", "v", "codes", "query_ids", "q")), strict=True):
-                row_ids, q_ids = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(query_ids.as_py(), np.int64)
-                coded = np.frombuffer(codes.as_py(), np.uint8).reshape(len(row_ids), -1)
-                as_rows = lambda x: np.frombuffer(x.as_py(), np.float64).reshape(-1, dims)
-                out = list(best_of_block(q_ids, as_rows(q), row_ids, as_rows(v), coded, centres, k, rerank))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    met = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).repartition(max(1, row_blocks * query_blocks), "block", "query_block").join(asked, "query_block")
-    found = met.select("ids", "v", "codes", "query_ids", "q").mapInArrow(run, result).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in ("query_block", "rows", "ids", "codes")}
+                if row["query_block"] != now:
+                    if kept:
+                        yield flush(kept, now)
+                    now, query_ids, q = row["query_block"], batch.column("query_ids")[i].as_py(), batch.column("q")[i].as_py()
+                    kept = Kept(np.frombuffer(query_ids, np.int64), np.frombuffer(q).reshape(-1, dims), centres, most, repeats)
+                ids = np.frombuffer(row["ids"], np.int64)
+                kept.add(np.frombuffer(row["rows"], np.int64), ids, np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1))
+        if kept:
+            yield flush(kept, now)
+
+    def flush(kept: Kept, query_block: int):
+        q = np.repeat(np.arange(len(kept.lists), dtype=np.int32), [len(one[0]) for one in kept.lists])
+        rough, rows, ids = (np.concatenate(c) for c in zip(*kept.lists, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), query_block, np.int32)), pa.array(q), pa.array(rows), pa.array(ids), pa.array(rough)], ["query_block", "q", "row", "id", "rough"])
+
+    codes = cut(base.select("row", "id", "v").mapInArrow(index, "rows binary, ids binary, codes binary").withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int")), "vector_index")
+    deal = F.pmod(F.xxhash64("row", F.lit("query")), F.lit(query_blocks)).cast("int")
+    asked = cut(base.where(F.col("id") % every == 0).withColumn("query_block", deal).groupBy("query_block").applyInArrow(plain, "query_block int, query_ids binary, q binary"), "queries")
+    every_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    met = codes.withColumn("query_block", every_of(query_blocks)).repartition(max(parts, query_blocks * slices), "query_block", "slice").sortWithinPartitions("query_block", "slice")
+    met = met.join(asked.withColumn("slice", every_of(slices)), ["query_block", "slice"]).select("query_block", "rows", "ids", "codes", "query_ids", "q")
+    kept = cut(met.mapInArrow(scanned, "query_block int, q int, row long, id long, rough float"), "kept")
+    if slices > 1:  # else a query's rows have all been in one task
+        one, own = Window.partitionBy("query_block", "q"), Window.partitionBy("query_block", "q", "id")
+        kept = kept.withColumn("nth", F.row_number().over(own.orderBy(F.desc("rough"), "row"))).where(F.col("nth") <= most).withColumn("best", F.max("rough").over(own))
+        kept = kept.withColumn("place", F.dense_rank().over(one.orderBy(F.desc("best"), "id"))).where(F.col("place") <= most)
+
+    def exact(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        v, ids, q_of = vectors(rows.column("v"), dims).astype(np.float64), rows.column("id").to_numpy(), rows.column("qs").combine_chunks()
+        query_ids, q = np.frombuffer(queries.column("query_ids")[0].as_py(), np.int64), np.frombuffer(queries.column("q")[0].as_py()).reshape(-1, dims)
+        at, of = np.repeat(np.arange(len(v)), q_of.value_lengths().to_numpy()), q_of.flatten().to_numpy()
+        score = np.concatenate([np.einsum("ij,ij->i", v[at[i : i + 65_536]], q[of[i : i + 65_536]]) for i in range(0, len(at), 65_536)])
+        query, vec = query_ids[of], ids[at]
+        order = np.lexsort((vec, -score, query))
+        order = order[np.sort(np.unique(np.stack([query[order], vec[order]]), axis=1, return_index=True)[1])] if repeats else order
+        first = np.searchsorted(query[order], query[order])
+        order = order[np.arange(len(order)) - first < k]
+        return pa.table({"query_id": query[order], "vec_id": vec[order], "score": score[order]})
+
+    needed = kept.groupBy("query_block", "row").agg(F.collect_list("q").alias("qs")).join(base, "row")
+    needed = needed.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(rest)).cast("int")).select("query_block", "part", "id", "v", "qs").groupBy("query_block", "part")
+    scored = needed.cogroup(asked.withColumn("part", every_of(rest)).groupBy("query_block", "part")).applyInArrow(exact, "query_id long, vec_id long, score double")
+    found = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def vectors(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+def vectors(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)

@@ -166,6 +166,29 @@ def test_search_counts_repeated_rows_once_and_lists_an_id_once(spark):
     assert got[got.query_id == 0].sort_values("rank").vec_id.tolist()[:2] == [7, 9]
 
 
+def test_search_in_many_blocks_and_slices_moves_only_kept_vectors(spark, monkeypatch):
+    for name, value in (("ROW_BLOCK", 64), ("QUERY_BLOCK", 16), ("SLICE", 2), ("EXACT_BYTES", 40_000)):
+        monkeypatch.setattr(inner_product, name, value)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1200, 16)).astype(np.float32) * rng.lognormal(0, 0.5, (1200, 1)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5, (x[100] * 2).tolist()), (5, (x[100] * 3).tolist())]
+    y = np.concatenate([x, [x[100] * 2, x[100] * 3]]).astype(np.float64)
+    ids = np.append(np.arange(1200), [5, 5])
+    for data, vectors_, id_ in ((rows, y, ids), (rows[:1200], y[:1200], ids[:1200])):
+        got = inner_product.search(spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3), rerank=60).toPandas()
+        hit = 0
+        for i in range(0, 1200, 20):
+            best = np.full(1200, -np.inf)
+            np.maximum.at(best, id_, vectors_ @ vectors_[i])
+            order = [j for j in np.lexsort((np.arange(1200), -best)) if j != i][:20]
+            mine = got[got.query_id == i].sort_values("rank")
+            assert mine["rank"].tolist() == list(range(1, 21)) and np.allclose(mine.score, best[mine.vec_id], atol=1e-6)
+            hit += len({*order} & {*mine.vec_id})
+        assert hit / 1200 >= 0.9 and len(got) == 1200
+    with pytest.raises(ValueError):
+        inner_product.search(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
+
+
 def test_four_bit_codes_pay_more_for_the_parallel_error():
     x = np.random.default_rng(2).standard_normal((400, 16))
     centres = inner_product.fit(x)
