@@ -75,5 +75,6 @@ def bound_batches(df: DataFrame) -> DataFrame:
 
 def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """df's rows whose id isn't among ids. Where those are few, Spark broadcasts them and the texts don't move."""
-    gone = cut(ids.toDF("gone_id").distinct(), "gone")
-    return df.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    name = free_name(df, "gone_id")
+    gone = cut(ids.toDF(name).distinct(), "gone")
+    return df.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -74,12 +74,11 @@ rates AS (SELECT source, (SELECT count(*) FROM documents) / (SELECT count(*) FRO
 pieces AS (SELECT source, rate, greatest(1, ceil(rate / 64))::INTEGER AS pieces FROM rates),
 cdf AS (SELECT source, pieces, k, sum(exp(k * ln(rate / pieces) - rate / pieces - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
         FROM pieces, range(900) r(k) WHERE k <= ceil(rate / pieces + 12 * sqrt(rate / pieces) + 20)),
-draws AS (SELECT d.doc_id, d.source, p.pieces, i, ('0x' || substr(md5('mix:' || i || ':' || d.doc_id), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u
-          FROM documents d JOIN pieces p USING (source), range(1, 100) r(i) WHERE i <= p.pieces),
+numbered AS (SELECT d.doc_id, d.source, unnest(range(1, p.pieces + 1)) AS i FROM documents d JOIN pieces p USING (source)),
+draws AS (SELECT *, ('0x' || substr(md5('mix:' || i || ':' || doc_id), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u FROM numbered),
 drawn AS (SELECT doc_id, sum((SELECT count(*) FROM cdf WHERE cdf.source = draws.source AND cdf.c <= u))::INTEGER AS copies FROM draws GROUP BY doc_id)
-SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copies, copy_no::INTEGER AS copy_no,
-       ('0x' || substr(md5('mix:order:' || copy_no || ':' || d.doc_id), 1, 15))::BIGINT AS order_key
-FROM documents d JOIN drawn USING (doc_id), range(1, 10000) r(copy_no) WHERE copy_no <= copies
+SELECT doc_id, text, lang, source, n_chars, copies, copy_no::INTEGER AS copy_no, ('0x' || substr(md5('mix:order:' || copy_no || ':' || doc_id), 1, 15))::BIGINT AS order_key
+FROM (SELECT d.*, copies, unnest(range(1, copies + 1)) AS copy_no FROM documents d JOIN drawn USING (doc_id))
 """
 
 

@@ -243,8 +243,10 @@ def write(df: DataFrame, tokenizer_file: str, end_id: int = END_ID, id_col: str
     """The table of blocks, written to the shared folder and read back: part, block, docs, tokens, payload.
 
     A null text counts as empty (just the end id). Ids ascend with nulls first; rows that repeat an id are ordered by a
-    hash of the text. An empty table gives no blocks; other columns are ignored.
+    hash of the text. Ids are integers, others are refused. An empty table gives no blocks; other columns are ignored.
     """
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} must be an integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

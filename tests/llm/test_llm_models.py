@@ -286,6 +286,30 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert digests == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in mixed} and docs.count() == len(mixed)
 
 
+def test_pipeline_stages_on_odd_tables(spark, sf_dir):
+    """Nulls in every column, empty and long texts, repeated ids with different texts, repeated rows, clashing names, no rows."""
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120).collect()
+    extra = "lang_pred score row_number copies copy_no gone_id digest_of_text".split()
+    a, b = plain[0].text, next(r.text for r in plain if r.lang != plain[0].lang)
+    odd = [(None, a, plain[0].lang, "s"), (7_000, a + " one more", None, None), (7_000, "completely other words stand here, and none of them is like the rest", None, "s"), (7_001, None, "en", None), (7_002, "", None, "s"), (7_003, b * 40, None, "s"), (7_003, b * 40, None, "s"), (7_004, "123 456", "en", "s")]
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in plain] + odd
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *range(len(extra))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in extra)).repartition(3)
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES:
+            before, kept = kept, corpus_pipeline.cut(stage(spark, kept, sf_dir), name)
+            if name != "byte_bpe":
+                assert kept.columns == docs.columns
+            if name == "ngram_jaccard_join":
+                texts = {r.text for r in before.collect()}
+                classes = brute_near(list(enumerate(sorted(texts))))
+                assert kept.count() == len({c for c, _ in classes.values()})
+                assert table is not docs or not texts or any("completely other words" in r.text for r in kept.collect())
+            if name == "language_id" and table.columns and kept.count():
+                assert not {None, "", "123 456"} & {r.text for r in kept.collect()} and kept.count() == len(rows) - 3
+    assert kept.count() == 0
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) == {"op1_sharding", "op6_mixing", "op7_exact_dedup", "op10_url_rules"}

@@ -1,6 +1,7 @@
 """Byte-level BPE, token files and section counts, against the libraries they must equal."""
 
 import base64
+import hashlib
 import random
 import struct
 import zlib
@@ -12,7 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from corvane.llm import bpe, token_counts, token_files
+from corvane.llm import bpe, queries, token_counts, token_files
 
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 ODD = ["", "a" * 3000, " " * 500, "\u0558abc", "x\u0558y 1\U00012550", "日本語テキスト" * 50, "'s't're", "\n\n \n x", "🏳️‍🌈" * 20, "\x00\x01", "a.. b", "x?. y", "İ ΣΑΣ σας", "a\x1cb c", "\xa0a\x85b", "<|endoftext|> x", "don't. 3.14, 5.\n"]
@@ -123,6 +124,52 @@ def test_section_counts_against_offsets(spark, rule):
         assert {s: tuple(w) for s, w in want.items()} == {s: got[i, s][2:] for s in want}, (i, t)
 
 
+def test_title_and_lines():
+    assert token_counts.title_and_lines("One. Two. \nthree\n\nfour").tolist() == [0, 5, 11, 17, 18]
+    assert token_counts.title_and_lines("no stop\nOne. Two").tolist() == [0, 8] and token_counts.title_and_lines("x. \n").tolist() == [0, 3] and token_counts.title_and_lines("a\n").tolist() == [0]
+
+
+def test_registered_section_counts_against_offsets(spark, sf_dir):
+    """Every document of the query, its sections as the query cuts them, tokens by the library's own offsets."""
+    theirs = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    theirs.encode_special_tokens = True
+    got = {}
+    for r in queries.op8_token_counts(spark, sf_dir).collect():
+        got.setdefault(r.doc_id, []).append((r.section, r.start, r.end, r.n_tokens))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        lines = d.text.splitlines(keepends=True) if d.text and not set(d.text) & set("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029") else None
+        if lines is None:
+            continue
+        at = lines[0].find(". ") + 2
+        pieces = [lines[0][:at], lines[0][at:], *lines[1:]] if 2 <= at < len(lines[0]) else lines
+        ends = np.cumsum([len(p) for p in pieces])
+        held = np.bincount([int(np.searchsorted(ends, a, "right")) for a, _ in theirs.encode(d.text, add_special_tokens=False).offsets], minlength=len(pieces))
+        assert sorted(got[d.doc_id]) == [(i, int(e) - len(p), int(e), int(n)) for i, (p, e, n) in enumerate(zip(pieces, ends, held))]
+
+
+def test_registered_bpe_digests_against_tiktoken(spark, sf_dir):
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    def want(i, text):
+        ids = theirs.encode_ordinary(text or "")
+        return (i, len(ids), sha(" ".join(map(str, ids)).encode()), sha((text or "").encode()))
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert sorted(map(tuple, queries.op2_byte_bpe(spark, sf_dir).collect())) == sorted(want(d.doc_id, d.text) for d in docs)
+    odd = [(i, t) for i, t in enumerate([*ODD, None])]
+    assert sorted(map(tuple, queries.bpe_digests(spark.createDataFrame(odd, "doc_id long, text string")).collect())) == sorted(want(*o) for o in odd)
+
+
+def test_token_files_refuse_ids_that_are_no_integers(spark):
+    with pytest.raises(ValueError):
+        token_files.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"), WORDS)
+
+
 def test_section_counts_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert sorted(tuple(r) for r in token_counts.count_tokens(df, RANKS, P.PATTERN).collect()) == [(1, 0, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0)]
