@@ -261,8 +261,10 @@ def _crowd(crowd: DataFrame, texts: DataFrame, nodes: DataFrame, block: int) ->
     homes = crowd.groupBy("node").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.collect_list("bucket").alias("buckets"))
     living = cut(homes.join(texts, "node").join(nodes.select("node", "signature"), "node"), "living")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.octet_length("text")) / F.lit(BLOCK_BYTES))).cast("int")
-    placed = living.join(living.groupBy("home").agg(blocks.alias("blocks")), "home").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = cut(placed.select("home", "block", "node", "texts", "buckets", "signature", "text").groupBy("home", "block").applyInArrow(_pack, f"home long, block int, {', '.join(f'{c} binary' for c in CELL)}"), "cells")
+    sizes = cut(living.groupBy("home").agg(blocks.alias("blocks")), "home_sizes")
+    placed = living.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.select("home", "block", "node", "texts", "buckets", "signature", "text").repartition(parts, "home", "block")  # not by home alone, whatever the join did
+    cells = cut(dealt.groupBy("home", "block").applyInArrow(_pack, f"home long, block int, {', '.join(f'{c} binary' for c in CELL)}"), "cells")
     found = crowd.select("bucket", "node").join(placed.select("node", F.struct("home", "block").alias("cell")), "node").select("bucket", "cell").distinct()
     pairs = found.select("bucket", F.col("cell").alias("i")).join(found.select("bucket", F.col("cell").alias("j")), "bucket").where("i <= j").select("i", "j").distinct()
     side = lambda name, key: cells.select(F.struct("home", "block").alias(key), *[F.col(c).alias(f"{c}_{name}") for c in CELL])
