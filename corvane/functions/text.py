@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,37 +45,32 @@ def phrases(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), lambda p: F.lower(F.trim(p)))
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with value computed once: a chain of plain expressions would double at each step."""
-    return F.transform(F.array(value), f)[0]
-
-
-def _cut(word: Column, n: int, end: str = "") -> Column:
-    head = F.substring(word, F.lit(1), F.length(word) - n)
-    return F.concat(head, F.lit(end)) if end else head
-
-
-def _single_final(word: Column) -> Column:
-    """Without the last of two equal consonants, but for ll, ss and zz."""
-    return _let(word, lambda w: F.when(w.rlike(r"([b-df-hj-np-tv-z])\1$") & ~w.rlike("(ll|ss|zz)$"), _cut(w, 1)).otherwise(w))
+#: The suffix rules, which have to give the stems that an index was built with. Each is tried once, in this
+#: order; END marks a word that a rule of its group has changed, so that no later rule of the group applies.
+END = "\u0001"
+SUFFIX_RULES = [
+    ("'s$", ""),
+    ("^(.{3,})ies$", "$1y"),
+    ("([^siu])s$", "$1"),
+    ("^(.{3,})ing$", f"$1{END}"),
+    (f"^(.{{2,}}[^e{END}])ed$", f"$1{END}"),
+    (rf"([bcdfghjkmnpqrtvwxy])\1{END}$", f"$1{END}"),
+    (f"{END}$", ""),
+    ("^(.{2,})iness$", f"$1y{END}"),
+    ("^(.{2,})ness$", f"$1{END}"),
+    ("^(.{3,})ly$", "$1"),
+    (f"{END}$", ""),
+]
 
 
 def stem(word: Column) -> Column:
-    """A careful suffix stripper: possessive, plural, -ing/-ed, then -iness/-ness/-ly; short words stay."""
-
-    def plural(w: Column) -> Column:
-        return F.when(w.endswith("ies") & (F.length(w) > 5), _cut(w, 3, "y")).when(w.rlike("[^s]s$") & ~w.rlike("(ss|us|is)$"), _cut(w, 1)).otherwise(w)
-
-    def verb(w: Column) -> Column:
-        ing, ed = w.endswith("ing") & (F.length(w) > 5), w.endswith("ed") & ~w.endswith("eed") & (F.length(w) > 4)
-        return F.when(ing, _single_final(_cut(w, 3))).when(ed, _single_final(_cut(w, 2))).otherwise(w)
-
-    def adverb(w: Column) -> Column:
-        return F.when(w.endswith("iness") & (F.length(w) > 6), _cut(w, 5, "y")).when(w.endswith("ness") & (F.length(w) > 5), _cut(w, 4)).when(
-            w.endswith("ly") & (F.length(w) > 4), _cut(w, 2)
-        ).otherwise(w)
+    """A careful suffix stripper: possessive, plural, -ing/-ed (and then a doubled consonant), -iness/-ness/-ly; short words stay.
 
-    stripped = _let(_let(_let(F.regexp_replace(word, "'s$", ""), plural), verb), adverb)
+    Every rule is one regular expression over the result of the one before, so the whole stays in codegen.
+    """
+    stripped = word
+    for pattern, put in SUFFIX_RULES:
+        stripped = F.regexp_replace(stripped, pattern, put)
     return F.when(F.length(word) < 4, word).otherwise(stripped)
 
 

@@ -9,14 +9,17 @@ import json
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.text import STOPWORDS, TERM
+from corvane.functions.dates import MONTHS
+from corvane.functions.text import TERM, is_stopword, stem, terms
 
-#: Fixed value: characters of an excerpt.
-EXCERPT = 700
+#: Characters of an excerpt, and how many of a question's terms it looks for.
+EXCERPT, QUERY_STEMS = 700, 32
+_TERM = re.compile(TERM, re.I | re.A)
 #: Extents of word similarity have at most this many words more than the query.
 EXTRA_WORDS = 4
 
@@ -52,111 +55,102 @@ def word_similarity(query: Column, text: Column) -> Column:
     return F.pandas_udf(run, "double")(query, text)
 
 
-def stem_of(word: str) -> str:
-    """The stemmer of functions.text, for use inside Python."""
-    if len(word) < 4:
-        return word
-    single = lambda w: w[:-1] if re.search(r"([b-df-hj-np-tv-z])\1$", w) and not re.search("(ll|ss|zz)$", w) else w
-    w = re.sub("'s$", "", word)
-    if w.endswith("ies") and len(w) > 5:
-        w = w[:-3] + "y"
-    elif re.search("[^s]s$", w) and not re.search("(ss|us|is)$", w):
-        w = w[:-1]
-    if w.endswith("ing") and len(w) > 5:
-        w = single(w[:-3])
-    elif w.endswith("ed") and not w.endswith("eed") and len(w) > 4:
-        w = single(w[:-2])
-    for end, least, put in (("iness", 6, "y"), ("ness", 5, ""), ("ly", 4, "")):
-        if w.endswith(end) and (len(w) > least or end == "ly"):
-            return w[: -len(end)] + put if len(w) > least else w
-    return w
-
-
-def excerpt_of(text: str, question: str, limit: int = EXCERPT) -> tuple[int, str]:
-    """Offset and text of the window that holds the most different stems of the question, then the tightest.
-
-    Offsets count UTF-16 code units; a surrogate pair is never cut.
+def excerpt_of(text: str, stems: dict[str, str], limit: int = EXCERPT) -> tuple[int, str]:
+    """Offset and text of the window that holds the most different stems of a question, then the tightest, then the first.
+
+    stems: the words of the text that count, with their stems. Offsets count UTF-16 code units; no surrogate pair is cut.
     """
-    units = text.encode("utf-16-le")
-    n = len(units) // 2
-    if n <= limit:
+    units = np.concatenate(([0], np.cumsum(1 + (np.frombuffer(text.encode("utf-32-le"), np.uint32) > 0xFFFF)))).astype(np.int64)
+    if units[-1] <= limit:
         return 0, text
-    terms = [t for t in re.findall(TERM, question.lower()) if t not in STOPWORDS][:32]
-    wanted = {stem_of(t) for t in terms}
-    at = [0]
-    for c in text:
-        at.append(at[-1] + (2 if ord(c) > 0xFFFF else 1))
-    found = [(stem_of(m.group().lower()), at[m.start()], at[m.end()]) for m in re.finditer(TERM, text, re.I)]
-    found = [f for f in found if f[0] in wanted and f[2] - f[1] <= limit]
-    best, start, lo = (0, 0), 0, 0
-    inside: dict[str, int] = {}
-    for term, _, end in found:
-        inside[term] = inside.get(term, 0) + 1
-        while end - found[lo][1] > limit:
-            inside[found[lo][0]] -= 1
-            if not inside[found[lo][0]]:
-                del inside[found[lo][0]]
-            lo += 1
-        rank = (len(inside), -(end - found[lo][1]))
-        if rank > best or best == (0, 0):
-            best, start = rank, max(0, min(n - limit, (found[lo][1] + end) // 2 - limit // 2))
-    low = lambda i: 0xDC00 <= int.from_bytes(units[2 * i : 2 * i + 2], "little") < 0xE000
-    if start and low(start):
-        start += 1
-    end = min(n, start + limit)
-    if end < n and low(end):
-        end -= 1
-    return start, units[2 * start : 2 * end].decode("utf-16-le")
+    found = [(m.start(), m.end(), stems[w]) for m in _TERM.finditer(text) if (w := m.group().lower()) in stems]
+    starts, ends = (units[np.array([f[k] for f in found], np.int64)] for k in (0, 1))
+    fits = np.flatnonzero(ends - starts <= limit)
+    begin = 0
+    if len(fits):
+        starts, ends, kinds = starts[fits], ends[fits], np.unique([found[i][2] for i in fits], return_inverse=True)[1]
+        # Each match closes a window that reaches back as far as it may. A stem counts once: by its last match inside.
+        after = np.full(len(kinds), len(kinds))
+        by_kind = np.lexsort((np.arange(len(kinds)), kinds))
+        same = kinds[by_kind][1:] == kinds[by_kind][:-1]
+        after[by_kind[:-1][same]] = by_kind[1:][same]
+        first = np.searchsorted(starts, ends - limit)
+        different = np.array([np.count_nonzero(after[lo : hi + 1] > hi) for hi, lo in enumerate(first)])
+        best = np.lexsort((ends - starts[first], -different))[0]
+        begin = min(max((starts[first[best]] + ends[best]) // 2 - limit // 2, 0), units[-1] - limit)
+    lo = int(np.searchsorted(units, begin))
+    hi = int(np.searchsorted(units, units[lo] + limit, "right")) - 1
+    return int(units[lo]), text[lo:hi]
 
 
 def excerpt(text: Column, question: Column) -> Column:
-    """struct(start, excerpt)"""
+    """struct(start, excerpt). Stems are made by expressions; only the search for a window is Python."""
+    asked = F.transform(F.slice(F.filter(terms(question), lambda t: ~is_stopword(t)), 1, QUERY_STEMS), stem)
+    words = F.transform(F.array_distinct(terms(text)), lambda t: F.struct(t.alias("word"), stem(t).alias("stem")))
+    wanted = F.filter(words, lambda w: F.array_contains(asked, w["stem"]))
+    word = lambda part: F.transform(wanted, lambda w: w[part])
+
+    def run(text: pd.Series, words: pd.Series, stems: pd.Series) -> pd.DataFrame:
+        rows = [(0, "") if t is None else excerpt_of(t, dict(zip(w if w is not None else (), s if s is not None else (), strict=True))) for t, w, s in zip(text, words, stems, strict=True)]
+        return pd.DataFrame(rows, columns=["start", "excerpt"])
 
-    def run(text: pd.Series, question: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([excerpt_of(t or "", q or "") for t, q in zip(text, question, strict=True)], columns=["start", "excerpt"])
+    return F.pandas_udf(run, "start long, excerpt string")(text, word("word"), word("stem"))
 
-    return F.pandas_udf(run, "start long, excerpt string")(text, question)
+
+def canonical_json_of(value: str | None) -> str | None:
+    try:
+        return None if value is None else json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
 
 
 def canonical_json(value: Column) -> Column:
-    """JSON with keys in order at every level, without blanks: what digests are taken of."""
+    """JSON with keys in order at every level, without blanks: what digests are taken of. Null for what isn't JSON."""
 
     def run(value: pd.Series) -> pd.Series:
-        return value.map(lambda v: None if v is None else json.dumps(json.loads(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+        return value.map(canonical_json_of)
 
     return F.pandas_udf(run, "string")(value)
 
 
-CUE = re.compile(r"\b(?:by|deadline|due|expires?|expiration|through|until|valid\s+until|lasts?\s+(?:for|until))\b", re.I)
-_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-_DATE = re.compile(rf"\b(?:(\d{{4}})-(\d{{2}})-(\d{{2}})|({'|'.join(_MONTHS)})\s+(\d{{1,2}})(?:,?\s+(\d{{4}}))?|(tomorrow|today)|in\s+(\d{{1,3}})\s+days?)\b", re.I)
+#: What announces a deadline, how far it may stand from a date (before it, around it), and what counts how much.
+CUE = r"\b(?:by|deadline|due|expires?|expiration|through|until|valid\s+until|lasts?\s+(?:for|until))\b"
+BEFORE, AROUND = 36, (24, 12)
+CUE_BEFORE, CUE_AROUND, SAYS_YEAR, LIES_AHEAD = 8, 4, 2, 1
+#: The dates that are read: 2026-03-05; March 5[, 2026]; today; tomorrow; in 9 days.
+_NUMERIC, _WORDED, _RELATIVE = r"(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})", rf"(?P<month>{'|'.join(MONTHS)})\s+(?P<day>\d{{1,2}})(?:,?\s+(?P<year>\d{{4}}))?", r"(?P<near>today|tomorrow)|in\s+(?P<n>\d{1,3})\s+days?"
+_DATE, _CUES = re.compile(rf"\b(?:{_NUMERIC}|{_WORDED}|{_RELATIVE})\b", re.I), re.compile(f"(?={CUE.replace('(?:by', '(by', 1)})", re.I)
+
+
+def _day_of(found: dict[str, str | None], as_of: datetime) -> datetime | None:
+    """Midnight of the day that a match of _DATE names, None for a day that no calendar has."""
+    today = datetime(as_of.year, as_of.month, as_of.day)
+    if found["near"] or found["n"]:
+        return today + timedelta(days=int(found["n"] or 0) if found["n"] else ("today", "tomorrow").index(found["near"].lower()))
+    month = int(found["m"]) if found["m"] else MONTHS.index(found["month"].lower()) + 1
+    try:
+        return datetime(int(found["y"] or found["year"] or as_of.year), month, int(found["d"] or found["day"]))
+    except ValueError:
+        return None
 
 
 def deadline_of(text: str, as_of: datetime) -> datetime | None:
-    """The likeliest deadline of a text in a bounded grammar: ISO dates, "March 5[, 2026]", today, tomorrow, in n days.
+    """The likeliest deadline of a text, by a bounded grammar of dates.
 
-    Without a cue word there is none. Candidates score 8 for a cue shortly before, else 4 for one around, 2 for a year,
-    1 for lying ahead; of equals the later in the text wins. A day ends at its last second; what is past is no deadline.
+    Where no cue stands anywhere there is none. Points are given for a cue that lies wholly before the date or around
+    it, for a year and for lying ahead; of equals the later in the text wins, and without a point none does. A day ends
+    at its last second; what is past is no deadline.
     """
-    if not CUE.search(text):
-        return None
-    scored = []
-    for m in _DATE.finditer(text):
-        year = int(m[1] or m[6] or as_of.year)
-        try:
-            if m[1]:
-                day = datetime(year, int(m[2]), int(m[3]))
-            elif m[4]:
-                day = datetime(year, _MONTHS.index(m[4].lower()) + 1, int(m[5]))
-            else:
-                day = datetime(as_of.year, as_of.month, as_of.day) + timedelta(days=int(m[8]) if m[8] else m[7].lower() == "tomorrow")
-        except ValueError:
-            continue
-        due = day + timedelta(hours=23, minutes=59, seconds=59)
-        near = 8 if CUE.search(text[max(0, m.start() - 36) : m.start()]) else 4 if CUE.search(text[max(0, m.start() - 24) : m.end() + 12]) else 0
-        scored.append((near + 2 * bool(m[1] or m[6]) + (day >= as_of), m.start(), due))
-    best = max(scored, default=(0, 0, as_of))
-    return best[2] if best[0] > 0 and best[2] >= as_of else None
+    cues = [m.span(1) for m in _CUES.finditer(text)]
+
+    def points(m: re.Match, day: datetime) -> int:
+        lo, hi = m.span()
+        near = CUE_BEFORE if any(lo - BEFORE <= a and b <= lo for a, b in cues) else CUE_AROUND if any(lo - AROUND[0] <= a and b <= hi + AROUND[1] for a, b in cues) else 0
+        return near + SAYS_YEAR * bool(m["y"] or m["year"]) + LIES_AHEAD * (day >= as_of)
+
+    dated = [(points(m, day), m.start(), day + timedelta(days=1, seconds=-1)) for m in _DATE.finditer(text) if (day := _day_of(m.groupdict(), as_of))] if cues else []
+    score, _, due = max(dated, default=(0, 0, as_of))
+    return due if score and due >= as_of else None
 
 
 def deadline(text: Column, as_of: datetime) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators.postings import stemmed
 
 LANES = ["and", "or", "vector", "trigram"]
 
@@ -43,9 +44,10 @@ AMBIGUOUS_RATIO = 1.25
 
 def term_features(questions: DataFrame, frequency: DataFrame, total_docs: int, w: Weighting) -> DataFrame:
     """questions (qid, text), frequency (stem, df) -> qid, n_terms, n_stems, max_idf, mean_idf, rare_terms, oov_ratio, looks_paraphrase, typo_suspect."""
-    asked = questions.select("qid", F.size(T.terms(F.col("text"))).alias("n_terms"), F.explode_outer(T.content_terms(F.col("text"))).alias("term")).withColumn("stem", T.stem(F.col("term")))
+    asked = questions.select("qid", F.size(T.terms(F.col("text"))).alias("n_terms"), F.explode_outer(T.content_terms(F.col("text"))).alias("term"))
+    known = stemmed(asked.select("term").where("term is not null").distinct()).join(frequency, "stem", "left")
     idf = F.when(F.col("df") > 0, F.log(F.lit(float(max(1, total_docs))) / F.col("df")))
-    per_term = asked.join(frequency, "stem", "left").withColumn("idf", idf)
+    per_term = asked.join(known.select("term", "stem", idf.alias("idf")), "term", "left")
     out = per_term.groupBy("qid", "n_terms").agg(
         F.count("stem").alias("n_stems"), F.coalesce(F.greatest(F.max("idf"), F.lit(0.0)), F.lit(0.0)).alias("max_idf"), F.coalesce(F.avg("idf"), F.lit(0.0)).alias("mean_idf"),
         F.sort_array(F.collect_set(F.when(F.col("idf") >= w.rare_idf_floor, F.col("stem")))).alias("rare_terms"),

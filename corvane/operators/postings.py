@@ -32,9 +32,12 @@ def postings(docs: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame
     return rows.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def document_frequency(posted: DataFrame, by: str = "term") -> DataFrame:
-    """term, df. Postings have one row per document and term, so a plain count does, with partial sums before the shuffle."""
-    return posted.groupBy(by).agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(docs: DataFrame, text_col: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """term, df: in how many rows a term stands. Terms are made distinct inside a row, so only terms and partial counts move."""
+    rows = docs.select(F.explode(F.array_distinct(T.terms(F.col(text_col)))).alias("term"))
+    if vocabulary is not None:
+        rows = rows.join(vocabulary, "term", "left_semi")
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def term_hits(posted: DataFrame, terms: DataFrame) -> DataFrame:
@@ -83,6 +86,11 @@ def question_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame)
     return hits.select("qid", "id", "n_terms", "matched", (F.col("tf") / F.col("len")).alias("score"))
 
 
-def stem_frequency(posted: DataFrame) -> DataFrame:
-    """stem, df: the largest document frequency of the surface forms that share a stem. Stems are made of the vocabulary, not of the text."""
-    return document_frequency(posted).select(T.stem(F.col("term")).alias("stem"), "df").groupBy("stem").agg(F.max("df").alias("df"))
+def stemmed(vocabulary: DataFrame) -> DataFrame:
+    """vocabulary (term, ...) with the stem of each term; meant for distinct terms, not for a text's."""
+    return vocabulary.withColumn("stem", T.stem(F.col("term")))
+
+
+def stem_frequency(docs: DataFrame, text_col: str) -> DataFrame:
+    """stem, df: the largest document frequency of the surface forms that share a stem."""
+    return stemmed(document_frequency(docs, text_col)).groupBy("stem").agg(F.max("df").alias("df"))

@@ -28,7 +28,7 @@ def asked_features(spark, d) -> DataFrame:
     """What users say is asked; a question's key is its conversation and turn."""
     docs = table(spark, d, "documents")
     asked = table(spark, d, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("qid"), "text")
-    return Q.term_features(asked, P.stem_frequency(P.postings(docs, "doc_id", "text")), docs.count(), Q.PRODUCT)
+    return Q.term_features(asked, P.stem_frequency(docs, "text"), docs.count(), Q.PRODUCT)
 
 
 @query("query_features", _FEATURES + " SELECT conv_id, turn, n_terms::INTEGER AS n_terms, n_stems, round(max_idf, 6) AS max_idf, round(mean_idf, 6) AS mean_idf, coalesce(rare, '') AS rare_terms, round(oov, 6) AS oov_ratio, para AS looks_paraphrase, typo AS typo_suspect FROM w")

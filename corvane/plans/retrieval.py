@@ -46,21 +46,21 @@ def quoted_phrases(spark, d):
 
 @query("term_document_frequency", f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({S.terms('text')}) AS term FROM documents) GROUP BY term")
 def term_document_frequency(spark, d):
-    return P.document_frequency(P.postings(table(spark, d, "documents"), "doc_id", "text"))
+    return P.document_frequency(table(spark, d, "documents"), "text")
 
 
 @query("stem_document_frequency", f"""WITH df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({S.terms('text')}) AS term FROM documents) GROUP BY term)
 SELECT stem, max(df) AS df FROM ({S.stem('df')}) GROUP BY stem""")
 def stem_document_frequency(spark, d):
-    return P.stem_frequency(P.postings(table(spark, d, "documents"), "doc_id", "text"))
+    return P.stem_frequency(table(spark, d, "documents"), "text")
 
 
 @query("surface_term_statistics", f"""WITH df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({S.terms('text')}) AS term FROM documents) GROUP BY term),
 s AS ({S.stem('df')})
 SELECT stem, count(*) AS n_terms, string_agg(term, ' & ' ORDER BY term) AS fragment, min(df) AS min_df FROM s GROUP BY stem""")
 def surface_term_statistics(spark, d):
-    df = P.document_frequency(P.postings(table(spark, d, "documents"), "doc_id", "text")).withColumn("stem", T.stem(F.col("term")))
-    return df.groupBy("stem").agg(F.count(F.lit(1)).alias("n_terms"), F.array_join(F.sort_array(F.collect_list("term")), " & ").alias("fragment"), F.min("df").alias("min_df"))
+    df = P.document_frequency(table(spark, d, "documents"), "text")
+    return P.stemmed(df).groupBy("stem").agg(F.count(F.lit(1)).alias("n_terms"), F.array_join(F.sort_array(F.collect_list("term")), " & ").alias("fragment"), F.min("df").alias("min_df"))
 
 
 @query("df_probe_capped", f"""WITH {S.query_terms(12)},
@@ -69,8 +69,8 @@ n AS (SELECT term, count(DISTINCT page_id) AS n FROM (SELECT page_id, unnest({S.
 SELECT term, least(coalesce(e.n, 0), 5000) + least(coalesce(n.n, 0), 5000) AS df FROM (SELECT DISTINCT term FROM qt) LEFT JOIN e USING (term) LEFT JOIN n USING (term)""")
 def df_probe_capped(spark, d):
     asked = P.query_terms(questions(spark, d), 12).select("term").distinct()
-    count = lambda t, i, x: P.document_frequency(P.postings(table(spark, d, t), i, x, asked))
-    e, n = count("documents", "doc_id", "text").withColumnRenamed("df", "e"), count("pages", "page_id", "html").withColumnRenamed("df", "n")
+    count = lambda t, x: P.document_frequency(table(spark, d, t), x, asked)
+    e, n = count("documents", "text").withColumnRenamed("df", "e"), count("pages", "html").withColumnRenamed("df", "n")
     bounded = lambda c: F.least(F.coalesce(c, F.lit(0)), F.lit(5000))
     return asked.join(e, "term", "left").join(n, "term", "left").select("term", (bounded("e") + bounded("n")).alias("df"))
 
@@ -237,7 +237,7 @@ o AS (SELECT *, max(CASE WHEN k > 1 AND total > 300 THEN 1 ELSE 0 END) OVER (PAR
 SELECT qid, term, df, k::INTEGER AS k FROM o WHERE over_it = 0 AND k <= 3""")
 def rare_term_anchors(spark, d):
     terms = P.query_terms(questions(spark, d))
-    df = P.document_frequency(P.postings(table(spark, d, "documents"), "doc_id", "text", terms.select("term").distinct()))
+    df = P.document_frequency(table(spark, d, "documents"), "text", terms.select("term").distinct())
     return L.scale_anchors(terms.join(df, "term"))
 
 
@@ -260,8 +260,9 @@ a AS (SELECT DISTINCT qid FROM hits WHERE matched = n_terms)
 SELECT item_id AS qid, coalesce(rarest <= 5, false) AND a.qid IS NOT NULL AS skip_vector FROM benchmark LEFT JOIN rare ON rare.qid = item_id LEFT JOIN a ON a.qid = item_id""")
 def vector_gate(spark, d):
     terms = P.query_terms(questions(spark, d))
-    posted = P.postings(table(spark, d, "documents"), "doc_id", "text", terms.select("term").distinct())
-    rare = terms.join(P.document_frequency(posted), "term").groupBy("qid").agg(F.min("df").alias("rarest"))
+    docs, asked = table(spark, d, "documents"), terms.select("term").distinct()
+    posted = P.postings(docs, "doc_id", "text", asked)
+    rare = terms.join(P.document_frequency(docs, "text", asked), "term").groupBy("qid").agg(F.min("df").alias("rarest"))
     exact = P.term_hits(posted, terms).where("matched = n_terms").select("qid").distinct().withColumn("has", F.lit(True))
     skip = F.coalesce(F.col("rarest") <= 5, F.lit(False)) & F.coalesce("has", F.lit(False))
     return questions(spark, d).join(rare, "qid", "left").join(exact, "qid", "left").select("qid", skip.alias("skip_vector"))

@@ -1,5 +1,7 @@
 """Text, date, vector and redaction functions on hand-made values."""
 
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -21,7 +23,7 @@ def one(spark, value, f, kind="string"):
     ("the", "the"), ("dog's", "dog"), ("bus", "bus"), ("agreed", "agreed"), ("king", "king"), ("buzzed", "buzz"),
 ])
 def test_stem(spark, word, stem):
-    assert one(spark, word, T.stem) == stem == U.stem_of(word)
+    assert one(spark, word, T.stem) == stem
 
 
 def test_terms_phrases_content(spark):
@@ -83,17 +85,50 @@ def test_redaction(spark):
     assert one(spark, f"{card} 123-45-6789", redact.redact_quote) == "[REDACTED:ssn_pattern]"
 
 
-def test_excerpts():
+def slow_excerpt(text, stems, limit):
+    """Every window that ends with a match and reaches back as far as the limit lets it, one by one."""
+    at = [0]
+    for c in text:
+        at.append(at[-1] + len(c.encode("utf-16-le")) // 2)
+    hits = [(at[m.start()], at[m.end()], stems[m.group().lower()]) for m in re.finditer("(?ia)[a-z0-9]+", text) if m.group().lower() in stems]
+    if at[-1] <= limit:
+        return 0, text
+    windows = []
+    for k, (_, end, _) in enumerate(hits):
+        inside = [h for h in hits[: k + 1] if h[0] >= end - limit]
+        windows.append((-len({h[2] for h in inside}), end - inside[0][0], k, inside[0][0], end))
+    begin = 0
+    if windows:
+        _, _, _, lo, hi = min(windows)
+        begin = max(0, min(at[-1] - limit, (lo + hi) // 2 - limit // 2))
+    start = min(i for i, u in enumerate(at) if u >= begin)
+    stop = max(i for i, u in enumerate(at) if u <= at[start] + limit)
+    return at[start], text[start:stop]
+
+
+def test_excerpts(spark):
     text = "a " * 600 + "red door opened " + "b " * 600
-    start, part = U.excerpt_of(text, "which red doors?")
+    row = spark.createDataFrame([(text, "which red doors?"), (None, "x"), ("short", None), ("no match " * 200, "zebra")], "t string, q string").select(U.excerpt(F.col("t"), F.col("q")).alias("e")).collect()
+    start, part = row[0].e
     assert "red door" in part and len(part) == 700 and start == text.index("red door") + 4 - 350
-    assert U.excerpt_of("short", "x") == (0, "short")
-    start, part = U.excerpt_of("😀" * 600 + " door " + "😀" * 600, "door")
+    assert [tuple(r.e) for r in row[1:]] == [(0, ""), (0, "short"), (0, ("no match " * 200)[:700])]
+    start, part = U.excerpt_of("😀" * 600 + " door " + "😀" * 600, {"door": "door"})
     assert "door" in part and not any(0xD800 <= ord(c) < 0xE000 for c in part)
 
 
+def test_excerpts_against_every_window():
+    rng = random.Random(3)
+    words = ["red", "reds", "door", "key", "x", "😀", "zz😀y", "longlonglong"]
+    stems = {"red": "red", "reds": "red", "door": "door", "key": "key", "longlonglong": "l"}
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
+        limit = rng.randint(4, 60)
+        assert U.excerpt_of(text, stems, limit) == slow_excerpt(text, {w: s for w, s in stems.items() if len(w) <= limit}, limit), (text, limit)
+
+
 @pytest.mark.parametrize("text, due", [
-    ("pay by 2026-04-01", "2026-04-01 23:59:59"), ("met 2026-05-01, due March 9, 2027", "2027-03-09 23:59:59"), ("no cue 2026-05-01", None), ("valid until 2020-01-01", None), ("due tomorrow", "2026-03-11 23:59:59"), ("due 2026-99-99", None),
+    ("pay by 2026-04-01", "2026-04-01 23:59:59"), ("met 2026-05-01, due March 9, 2027", "2027-03-09 23:59:59"), ("no cue 2026-05-01", None), ("valid until 2020-01-01", None), ("due tomorrow", "2026-03-11 23:59:59"), ("due 2026-99-99", None), ("by 2026-05-01 or 2026-05-02", "2026-05-02 23:59:59"),
+    ("seen 2026-05-01. it is valid until March 20", "2026-03-20 23:59:59"), ("due today", "2026-03-10 23:59:59"), ("expires in 10 days, then 2026-06-01", "2026-03-20 23:59:59"),
 ])
 def test_deadlines(text, due):
     got = U.deadline_of(text, datetime(2026, 3, 10))
@@ -101,4 +136,5 @@ def test_deadlines(text, due):
 
 
 def test_canonical_json(spark):
+    assert one(spark, '{"b": ', U.canonical_json) is None and one(spark, None, U.canonical_json) is None
     assert one(spark, '{"b": [1, {"d": "é", "c": null}], "a": 2.5}', U.canonical_json) == '{"a":2.5,"b":[1,{"c":null,"d":"é"}]}'
