@@ -69,3 +69,13 @@ def in_range(at: Column, lo: Column, hi: Column, closed: bool) -> Column:
     """Inferred dates are half-open, explicit bounds closed; a null time never satisfies a bound."""
     after = lo.isNull() | (at >= lo)
     return after & (hi.isNull() | ((at <= hi) if closed else (at < hi)))
+
+
+def basis(layer: Column, message_at: Column, created_at: Column, explicit: bool) -> Column:
+    """The time that a date filter looks at. Explicit bounds see a message's own time only, inferred ones fall back to its episode's."""
+    return F.when(layer == "node", created_at).otherwise(message_at if explicit else F.coalesce(message_at, created_at))
+
+
+def local_date(at: Column, zone: str = "America/Los_Angeles") -> Column:
+    """The day of an instant (UTC) on the owner's calendar."""
+    return F.date_format(F.from_utc_timestamp(at.cast("timestamp"), zone), "yyyy-MM-dd")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The families of questions and a stream per purpose.
@@ -15,6 +15,13 @@ def draw(seed: str, label: str, i: Column, n: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/{label}/"), i.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long") % n
 
 
+def spread_ids(rows: DataFrame, key: str, space: int) -> DataFrame:
+    """rows (key) -> id, key: rows in the order of their key take evenly spread ids of a larger space."""
+    n = rows.count()
+    numbered = rows.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("k"))  # as few as the structured rows
+    return numbered.select(F.floor(F.col("k").cast("long") * space / F.lit(n)).alias("id"), key)
+
+
 def generate(spark: SparkSession, n: int, seed: str, words: list[str]) -> DataFrame:
     """id, family, title, body, occurred_at, rare_token of n memories, row by row from their number: no state, any order."""
     i = F.col("id")

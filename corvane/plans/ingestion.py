@@ -234,15 +234,3 @@ def json_dump(spark, d):
 @query("json_path", "SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events")
 def json_path(spark, d):
     return table(spark, d, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'int')").alias("k"))
-
-
-@query("archive_validation", """SELECT conv_id AS key, CASE WHEN count(*) > 4 AND conv_id % 2 = 0 THEN 'assembly_not_complete' ELSE '' END AS issues FROM conversations GROUP BY conv_id""")
-def archive_validation(spark, d):
-    """Conversations as archives: even ones are assembled by a model, and those of over four turns claim to be complete."""
-    even = F.col("conv_id") % 2 == 0
-    a = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.col("turn").cast("string"))).alias("message_ids"))
-    a = a.select(
-        F.col("conv_id").alias("key"), F.when(even, "model_assembled").otherwise("source_export").alias("kind"), F.when(F.col("n") > 4, "complete").otherwise("partial").alias("completeness"), F.array(F.lit("sampled")).alias("limitations"),
-        F.lit(None).cast("timestamp").alias("from_at"), F.lit(None).cast("timestamp").alias("until_at"), F.lit(False).alias("has_original"), "message_ids", F.array(F.lit(0)).alias("ordinals"),
-    )
-    return I.validate_transfer(a).select("key", F.array_join("issues", ",").alias("issues"))

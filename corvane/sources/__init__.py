@@ -1 +1 @@
-from corvane.sources.tables import table  # noqa: F401
+from corvane.sources.tables import optional_table, parse_lines, table  # noqa: F401
