@@ -113,3 +113,20 @@ def strip_tagged(text: Column, tags: list[str]) -> Column:
     for tag in tags:
         text = F.regexp_replace(text, rf"(?s)<{tag}>.*?</{tag}>", "")
     return text
+
+
+def certificate_terms(text: Column) -> Column:
+    """The words that certificates are made of: another tokenizer than that of retrieval."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))
+    return F.filter(words, lambda w: ~is_stopword(w) & (F.length(w) > 1))
+
+
+def certificate_stem(word: Column) -> Column:
+    """The coarser stemmer of certificates, kept apart from stem(). Endings, the lengths they need, what is cut and put."""
+    rules = [("ies", 5, 3, "y"), ("es", 5, 2, ""), ("ing", 5, 3, ""), ("ed", 5, 2, ""), ("ly", 4, 2, ""), ("s", 4, 1, "")]
+    out = word
+    for end, least, cut, put in reversed(rules):
+        fits = F.endswith(word, F.lit(end)) & (F.length(word) >= least)
+        fits = fits & ~F.endswith(word, F.lit("ss")) if end == "s" else fits
+        out = F.when(fits, F.concat(F.substring(word, F.lit(1), F.length(word) - cut), F.lit(put))).otherwise(out)
+    return out
