@@ -72,6 +72,37 @@ def lane_weights(w: Weighting, max_idf: Column, looks_paraphrase: Column, typo_s
     return out
 
 
+def ambiguous_aliases(aliases: DataFrame, frequency: DataFrame, tagged: DataFrame) -> DataFrame:
+    """aliases (slug, alias), frequency (alias, df), tagged (slug, tagged): with ambiguous, if an alias stands in many more rows than its slug tags."""
+    rows = aliases.join(frequency, "alias", "left").join(tagged, "slug", "left")
+    known = (F.col("tagged") > 0) & (F.col("df") > F.col("tagged") * AMBIGUOUS_RATIO)
+    return rows.select("slug", "alias", F.coalesce(known, F.lit(False)).alias("ambiguous"))
+
+
+def resolve_filters(questions: DataFrame, filters: bool = True) -> DataFrame:
+    """questions (qid, declared: struct(date_from, date_to, people) or null, inferred: the same) -> qid, date_from, date_to, people.
+
+    Declared filters, where there are any, win as a whole: what they leave out isn't inferred. A profile may have none at all.
+    """
+    if not filters:
+        nothing = {"date_from": F.lit(None).cast("date"), "date_to": F.lit(None).cast("date"), "people": F.array().cast("array<string>")}
+        return questions.select("qid", *[c.alias(n) for n, c in nothing.items()])
+    pick = lambda n: F.when(F.col("declared").isNotNull(), F.col(f"declared.{n}")).otherwise(F.col(f"inferred.{n}"))
+    return questions.select("qid", pick("date_from").alias("date_from"), pick("date_to").alias("date_to"), F.coalesce(pick("people"), F.array().cast("array<string>")).alias("people"))
+
+
+def merged(base: dict, override: dict) -> dict:
+    """A configuration with values of another laid over it, table by table; what isn't a table is replaced whole."""
+    return {**base, **{k: merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in override.items()}}
+
+
+def distinct_texts(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """questions (qid, text) -> texts to be embedded (key, text), each once, and qid, key: blanks and case don't make another text."""
+    plain = F.lower(T.squeeze(F.col("text")))
+    keyed = questions.select("qid", F.sha2(plain, 256).alias("key"), plain.alias("text"))
+    return keyed.groupBy("key").agg(F.min("text").alias("text")), keyed.select("qid", "key")
+
+
 def entities(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """questions (qid, text), aliases (slug, alias, ambiguous) -> qid, slug, place, ambiguous, by earliest mention.
 

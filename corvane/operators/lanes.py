@@ -65,6 +65,28 @@ def pairwise(questions: DataFrame, rows: DataFrame) -> DataFrame:
     return spread.join(F.broadcast(asked) if blocks == 1 else asked, "q_block").drop("q_block")
 
 
+#: Words of the run by which a text is looked for in others.
+ANCHOR = 3
+
+
+def holders(questions: DataFrame, rows: DataFrame) -> DataFrame:
+    """questions (qid, text), rows (id, page) -> qid, id of the rows that hold a question's text word for word.
+
+    Words between blanks, but for the first and last, stand whole in whatever holds a text: a run of ANCHOR of them is
+    joined with the runs of all rows, and only what meets is searched. Questions too short for that meet every row.
+    """
+    words = lambda c: F.split(c, " ")
+    run = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(ANCHOR)])
+    asked = questions.withColumn("w", words("text"))
+    long = F.size("w") >= ANCHOR + 2
+    anchors = asked.where(long).select("qid", run(F.col("w"), F.floor(F.size("w") / 2).cast("int") - 1).alias("anchor"))
+    runs = rows.select("id", words("page").alias("w")).where(long)
+    runs = runs.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR - 1), lambda i: run(F.col("w"), i)))).alias("anchor"))
+    met = runs.join(anchors, "anchor").select("qid", "id").distinct().join(rows, "id").join(questions, "qid")
+    short = pairwise(asked.where(~long).select("qid", "text"), rows)
+    return met.select("qid", "id", "page", "text").unionByName(short.select("qid", "id", "page", "text")).where(F.contains("page", "text")).select("qid", "id")
+
+
 def vector_lane(questions: DataFrame, rows: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """questions (qid, qv), rows (id, v): exact cosine; rows without a vector are invisible here."""
     scored = pairwise(questions, rows.where("v is not null")).select("qid", "id", F.round(V.cosine(F.col("qv"), F.col("v")), 6).alias("score"))

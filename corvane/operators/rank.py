@@ -15,10 +15,14 @@ RECENCY_HALF_LIFE_DAYS, DATE_FIT_HALF_LIFE_DAYS = 730.5, 365.25
 
 
 def fuse(lanes: DataFrame, k: int = RRF_K) -> DataFrame:
-    """lanes (qid, lane, id, rnk, weight) -> qid, id, rrf, lane_ranks. A lane of weight 0 adds and admits nothing."""
+    """lanes (qid, lane, id, score, rnk, weight) -> qid, id, rrf, lane_ranks, lexical (the best score of all lanes).
+
+    A lane of weight 0 adds and admits nothing.
+    """
     heard = lanes.where("weight <> 0")
-    per_lane = heard.groupBy("qid", "id", "lane").agg(F.sum(F.col("weight") / (k + F.col("rnk"))).alias("part"), F.min("rnk").alias("rnk"))
-    return per_lane.groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("rrf"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lane", "rnk")))).alias("lane_ranks"))
+    per_lane = heard.groupBy("qid", "id", "lane").agg(F.sum(F.col("weight") / (k + F.col("rnk"))).alias("part"), F.min("rnk").alias("rnk"), F.max("score").alias("score"))
+    ranks = F.map_from_entries(F.sort_array(F.collect_list(F.struct("lane", "rnk")))).alias("lane_ranks")
+    return per_lane.groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("rrf"), ranks, F.max("score").alias("lexical"))
 
 
 def top_fused(fused: DataFrame, most: int = SHORTLIST) -> DataFrame:
@@ -68,3 +72,39 @@ def one_hop(hits: DataFrame, edges: DataFrame, scale: float = HOP_SCALE) -> Data
     reached = reached.join(hits.select("qid", F.col("id").alias("neighbour")), ["qid", "neighbour"], "left_anti")
     best = F.max_by(F.struct("gain", "why", "id"), F.struct("gain", -F.col("id")))
     return reached.groupBy("qid", "neighbour").agg(best.alias("b")).select("qid", F.col("neighbour").alias("id"), F.round("b.gain", 9).alias("rrf"), F.col("b.id").alias("parent"), F.col("b.why").alias("why"))
+
+
+def entity_match(wanted: DataFrame, tags: DataFrame, pairs: DataFrame) -> DataFrame:
+    """wanted (qid, slug), tags (id, slug), pairs (qid, id) -> pairs with entity: the share of a question's people and places that a row is tagged with."""
+    wanted = wanted.select("qid", "slug").distinct()
+    n = wanted.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    held = pairs.select("qid", "id").join(wanted, "qid").join(tags.select("id", "slug").distinct(), ["id", "slug"]).groupBy("qid", "id").agg(F.count(F.lit(1)).alias("held"))
+    return pairs.join(n, "qid", "left").join(held, ["qid", "id"], "left").withColumn("entity", F.coalesce(F.col("held") / F.col("n"), F.lit(0.0))).drop("n", "held")
+
+
+def envelope(questions: DataFrame, hits: DataFrame, states: DataFrame, degraded: DataFrame) -> DataFrame:
+    """One row a question: state, a note, degraded, and its hits in order, each with where it is from and what to read next.
+
+    questions (qid), hits (qid, final_rank, id, layer, score, lanes), states (qid, state), degraded (qid, lane) of lanes that failed.
+    """
+    read = F.concat(F.lit("read_"), F.col("layer"), F.lit(":"), F.col("id").cast("string"))
+    listed = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("final_rank", "id", "layer", "score", "lanes", read.alias("next")))).alias("hits"))
+    failed = degraded.groupBy("qid").agg(F.array_join(F.sort_array(F.collect_set("lane")), ", ").alias("failed"))
+    note = F.when(F.col("failed").isNotNull(), F.concat(F.lit("without "), F.col("failed"))).when(F.col("state") == "missing", "nothing was found")
+    rows = questions.select("qid").join(states, "qid", "left").join(listed, "qid", "left").join(failed, "qid", "left")
+    return rows.select("qid", "state", note.alias("note"), F.col("failed").isNotNull().alias("degraded"), F.coalesce("hits", F.array()).alias("hits"))
+
+
+def attach_provenance(hits: DataFrame, messages: DataFrame | None) -> DataFrame:
+    """hits (id, ...) with role, fidelity and revision of the archived message behind each; without that table, null and a note."""
+    if messages is None:
+        return hits.withColumns({**{c: F.lit(None).cast("string") for c in ("role", "fidelity", "revision")}, "note": F.lit("provenance is unavailable")})
+    return hits.join(messages.select("id", "role", "fidelity", "revision"), "id", "left").withColumn("note", F.lit(None).cast("string"))
+
+
+def attach_edges(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """hits (qid, id) with edges: those that begin or end at a hit (array of struct(edge, other, why) by edge)."""
+    of = lambda here, there: edges.select(F.col(here).alias("id"), F.struct("edge", F.col(there).alias("other"), "why").alias("e"))
+    both = of("source", "target").unionByName(of("target", "source"))
+    listed = hits.select("id").distinct().join(both, "id").groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("edges"))
+    return hits.join(listed, "id", "left").withColumn("edges", F.coalesce("edges", F.array()))

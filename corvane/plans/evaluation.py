@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import lanes as L
 from corvane.operators import metrics as M
+from corvane.operators.corpus import FAMILIES
 from corvane.plans import sqltext as S
 from corvane.plans.registry import query
 from corvane.plans.retrieval import _LANES, centroids, hits, vectors
@@ -20,7 +21,7 @@ def targets(spark, d) -> DataFrame:
     """qid, id: the documents that hold a question's text word for word."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("page"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return L.pairwise(asked, docs).where(F.contains("page", "text")).select("qid", "id")
+    return L.holders(asked, docs)
 
 
 _TARGETS = "tg AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -41,29 +42,100 @@ def macro_recall(spark, d):
     return ranks(spark, d).select("qid", "n_targets", "n_found", F.round(F.col("n_found") / F.col("n_targets"), 6).alias("share"))
 
 
-@query("bootstrap_ci", f"""WITH v AS (SELECT row_number() OVER (ORDER BY label, vec_id) - 1 AS place, label::DOUBLE AS x FROM embeddings), c AS (SELECT count(*) AS n, avg(x) AS p FROM v),
-dr AS (SELECT r, ('0x' || substr(md5('boot:' || r || ':' || place), 1, 15))::BIGINT % n AS place FROM v, c, range({RESAMPLES}) t(r)),
+_DRAWN = lambda seed: f"""c AS (SELECT count(*) AS n, avg(x) AS p FROM v), dr AS (SELECT r, ('0x' || substr(md5('{seed}:' || r || ':' || place), 1, 15))::BIGINT % n AS place FROM v, c, range({RESAMPLES}) t(r)),
 m AS (SELECT r, round(avg(x), 9) AS m FROM dr JOIN v USING (place) GROUP BY r), k AS (SELECT m, row_number() OVER (ORDER BY m, r) - 1 AS k FROM m)
-SELECT round((SELECT p FROM c), 6) AS point, round(max(CASE WHEN k = {int(0.025 * RESAMPLES)} THEN m END), 6) AS lower, round(max(CASE WHEN k = {-(-39 * RESAMPLES // 40) - 1} THEN m END), 6) AS upper FROM k""")
+SELECT round((SELECT p FROM c), 6) AS point, round(max(CASE WHEN k = {int(0.025 * RESAMPLES)} THEN m END), 6) AS lower, round(max(CASE WHEN k = {-(-39 * RESAMPLES // 40) - 1} THEN m END), 6) AS upper FROM k"""
+
+
+def interval(values: DataFrame, seed: str) -> DataFrame:
+    """values (qid, x): one a question, numbered in the order of the questions."""
+    numbered = values.select((F.row_number().over(Window.orderBy("qid")) - 1).cast("long").alias("place"), F.col("x").cast("double").alias("x"))
+    drawn = lambda r, i, n: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), r, F.lit(":"), i).cast("binary")), 1, 15), 16, 10).cast("long") % n
+    return M.bootstrap(numbered, RESAMPLES, drawn)
+
+
+@query("bootstrap_ci", _RANKS + ", v AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS place, CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END AS x FROM r), " + _DRAWN("boot"))
 def bootstrap_ci(spark, d):
-    order = Window.orderBy("label", "vec_id")  # one value per question: a list as short as the question set
-    values = table(spark, d, "embeddings").select((F.row_number().over(order) - 1).cast("long").alias("place"), F.col("label").cast("double").alias("x"))
-    drawn = lambda r, i, n: F.conv(F.substring(F.md5(F.concat(F.lit("boot:"), r, F.lit(":"), i).cast("binary")), 1, 15), 16, 10).cast("long") % n
-    return M.bootstrap(values, RESAMPLES, drawn)
+    """Recall at 10 of the fragment lane with its interval."""
+    return interval(ranks(spark, d).select("qid", F.when(F.col("rank") <= 10, 1.0).otherwise(0.0).alias("x")), "boot")
 
 
-@query("mix_weighted_recall", """WITH f AS (SELECT source AS family, count(*) AS n, avg(quality) AS q FROM labels JOIN documents USING (doc_id) GROUP BY source)
-SELECT round(sum(n * q) / sum(n), 6) AS weighted, round(avg(q), 6) AS unweighted, count(*) AS families FROM f""")
-def mix_weighted_recall(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    f = table(spark, d, "labels").join(docs, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("q"))
-    return f.agg(F.round(F.sum(F.col("n") * F.col("q")) / F.sum("n"), 6).alias("weighted"), F.round(F.avg("q"), 6).alias("unweighted"), F.count(F.lit(1)).alias("families"))
+@query("paired_delta_ci", f"""WITH {S.HITS}, {S.ranked('hits', 'matched >= least(2, n_terms)', 24, 'lane')}, {S.ranked('hits', 'matched = n_terms', 24, 'full')}, {_TARGETS}, h AS (SELECT tg.qid, coalesce(min(lane.rnk) <= 3, false)::INTEGER AS a, coalesce(min(f.rnk) <= 3, false)::INTEGER AS b FROM tg LEFT JOIN lane ON tg.qid = lane.qid AND tg.id = lane.id LEFT JOIN "full" f ON tg.qid = f.qid AND tg.id = f.id GROUP BY tg.qid),
+v AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS place, (a - b)::DOUBLE AS x FROM h), """.replace("full AS", '"full" AS') + _DRAWN("paired"))
+def paired_delta_ci(spark, d):
+    """By how much the fragment lane finds a target among its first three more often than the exact lane, question by question."""
+    h, tg = hits(spark, d), targets(spark, d)
+    one = lambda lane, name: M.best_ranks(lane, tg).select("qid", F.when(F.col("rank") <= 3, 1).otherwise(0).alias(name))
+    both = one(L.or_lane(h, 24), "a").join(one(L.and_lane(h, 24), "b"), "qid")
+    return interval(both.select("qid", (F.col("a") - F.col("b")).alias("x")), "paired")
+
+
+def family(qid) -> Column:
+    return F.element_at(F.array(*map(F.lit, FAMILIES)), (qid % len(FAMILIES) + 1).cast("int"))
+
 
+_FAMILY = f"{FAMILIES!r}[qid % {len(FAMILIES)} + 1] AS family"
+_BY_FAMILY = _RANKS + f", f AS (SELECT {_FAMILY}, count(*) AS n, avg((coalesce(rank, 999) <= 10)::INT) AS recall FROM r GROUP BY 1)"
 
-@query("per_family_metrics", """SELECT lang AS family, count(*) AS n, round(avg(quality), 6) AS quality, count_if(toxic = 1)::BIGINT AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
+
+def by_family(spark, d) -> DataFrame:
+    return ranks(spark, d).groupBy(family(F.col("qid")).alias("family")).agg(F.count(F.lit(1)).alias("n"), M.recall_at(F.col("rank"), 10).alias("recall"))
+
+
+@query("per_family_metrics", _BY_FAMILY + " SELECT family, n, round(recall, 6) AS recall_at_10 FROM f")
 def per_family_metrics(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    return table(spark, d, "labels").join(docs, "doc_id").groupBy(F.col("lang").alias("family")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 6).alias("quality"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+    return by_family(spark, d).select("family", "n", F.round("recall", 6).alias("recall_at_10"))
+
+
+_MIX = {"paraphrase_nolex": 0.3, "rare_token": 0.1, "typo_noisy": 0.2}
+
+
+@query("mix_weighted_recall", _BY_FAMILY + f", w AS (SELECT *, coalesce(CASE family {' '.join(f'WHEN {k!r} THEN {v}::DOUBLE' for k, v in _MIX.items())} END, n / sum(n) OVER ()) AS w FROM f) SELECT round(sum(w * recall) / sum(w), 6) AS weighted, round(avg(recall), 6) AS unweighted, count(*) AS families FROM w")
+def mix_weighted_recall(spark, d):
+    """Recall by the shares of the families that are asked for, and by counts where there is no share."""
+    return M.mix_weighted(by_family(spark, d), spark.createDataFrame(list(_MIX.items()), "family string, share double"))
+
+
+@query("survivor_depth", _LANES + """, f AS (SELECT qid, id, round(sum(weight / (60 + rnk)), 9) AS rrf, max(score) AS lexical FROM lanes GROUP BY qid, id), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS fr FROM f),
+s AS (SELECT *, round(rrf / max(rrf) OVER (PARTITION BY qid) + 2 * lexical / max(lexical) OVER (PARTITION BY qid), 9) AS score FROM k WHERE fr <= 40),
+y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS last FROM s)
+SELECT count(*) AS survivors, max(fr)::INTEGER AS deepest, count_if(fr > 25)::BIGINT AS past_25 FROM y WHERE last <= 10""")
+def survivor_depth(spark, d):
+    """How far down in the fused order the ten rows that are shown after reranking come from."""
+    from corvane.operators import rank as R
+    from corvane.plans.retrieval import lanes
+
+    top = R.top_fused(R.fuse(lanes(spark, d)), 40)
+    zero = {c: F.lit(0.0) for c in ("cosine", "entity", "recency", "date_fit")} | {c: F.lit(False) for c in ("rare_hit", "title_hit")} | {"dup_group": F.lit(None).cast("long")}
+    shown = R.rerank(top.withColumns(zero), {"fused": 1.0, "lexical": 2.0}).where("final_rank <= 10")
+    return shown.agg(F.count(F.lit(1)).alias("survivors"), F.max("fused_rank").alias("deepest"), F.count_if(F.col("fused_rank") > 25).alias("past_25"))
+
+
+@query("oracle_by_family", f"""WITH {S.HITS}, {S.ranked('hits', 'matched >= least(2, n_terms)', 100, 'o')}, {S.ranked('hits', 'matched = n_terms', 100, 'a')}, {_TARGETS}, x AS (SELECT tg.qid, {_FAMILY.replace('qid', 'tg.qid')}, min(a.rnk) AS a, min(o.rnk) AS o FROM tg LEFT JOIN a ON tg.qid = a.qid AND tg.id = a.id LEFT JOIN o ON tg.qid = o.qid AND tg.id = o.id GROUP BY tg.qid)
+SELECT family, count(*) AS n, count_if(least(a, o) <= 10)::BIGINT AS best_lane_hits, count_if(least(a, o) <= 100)::BIGINT AS depth_hits, count_if(a <= 10)::BIGINT AS by_and_rank, count_if(o <= 10)::BIGINT AS by_or_rank FROM x GROUP BY family""")
+def oracle_by_family(spark, d):
+    """What the best lane alone would find, how deep the lanes would have to be read, and which lane solves how much."""
+    h, tg = hits(spark, d), targets(spark, d)
+    one = lambda lane, name: M.best_ranks(lane, tg).select("qid", F.col("rank").alias(name))
+    r = one(L.and_lane(h, 100), "and_rank").join(one(L.or_lane(h, 100), "or_rank"), "qid").withColumn("family", family(F.col("qid")))
+    return M.oracle_by_family(r, ["and_rank", "or_rank"], 10, 100)
+
+
+_CEILINGS = f"""WITH {S.HITS}, {_TARGETS}, own AS (SELECT tg.qid, tg.id, h.matched, h.n_terms FROM tg LEFT JOIN hits h ON h.qid = tg.qid AND h.id = tg.id AND h.matched >= least(2, h.n_terms)),
+ce AS (SELECT qid, id, matched, n_terms, CASE WHEN matched = n_terms THEN (SELECT count(*) FROM hits x WHERE x.qid = own.qid AND x.matched = x.n_terms) END AS and_ceiling, CASE WHEN matched IS NOT NULL THEN (SELECT count(*) FROM hits x WHERE x.qid = own.qid AND x.matched >= own.matched) END AS or_ceiling FROM own)"""
+
+
+@query("lane_ceilings", _CEILINGS + " SELECT qid, id, and_ceiling, or_ceiling FROM ce")
+def lane_ceilings(spark, d):
+    return M.lane_ceilings(hits(spark, d), targets(spark, d))
+
+
+@query("certificates", _CEILINGS + ", c AS (SELECT *, list_filter([CASE WHEN and_ceiling <= 24 THEN 'and' END, CASE WHEN or_ceiling <= 24 THEN 'or' END], lambda s: s IS NOT NULL) AS s FROM ce) SELECT qid, id, array_to_string(s, ',') AS signals, len(s) > 0 AS solvable, round(coalesce(matched / n_terms, 0), 6) AS overlap FROM c")
+def certificates(spark, d):
+    """Which questions can be answered at all: the lanes whose ceilings lie within their depth, and how many terms are shared."""
+    h, tg = hits(spark, d), targets(spark, d)
+    overlap = h.join(tg, ["qid", "id"]).select("qid", "id", (F.col("matched") / F.col("n_terms")).alias("overlap"))
+    return M.certificate(M.lane_ceilings(h, tg), overlap, 24).select("qid", "id", "signals", "solvable", F.round(F.coalesce("overlap", F.lit(0.0)), 6).alias("overlap"))
 
 
 @query("failure_taxonomy", _LANES + f""", {_TARGETS}, f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS fr FROM (SELECT qid, id, round(sum(weight / (60 + rnk)), 9) AS rrf FROM lanes GROUP BY qid, id)),

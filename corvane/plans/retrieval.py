@@ -179,14 +179,12 @@ cand AS (SELECT * FROM c WHERE fused_rank <= 25)"""
 
 
 def candidates(spark, d) -> DataFrame:
-    """Fused candidates with what the reranker asks for; documents with one text form a duplicate group."""
+    """Fused candidates with what the reranker asks for; documents with one text form a duplicate group, told by digest and length."""
+    key = [F.sha2("text", 256).alias("digest"), F.length("text").alias("size")]
     docs = table(spark, d, "documents")
-    groups = docs.groupBy(F.md5(F.col("text").cast("binary")).alias("digest"), "text").agg(F.min("doc_id").alias("dup_group"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "dup_group")
-    by_lane = lanes(spark, d)
-    fused = R.fuse(by_lane).join(by_lane.groupBy("qid", "id").agg(F.max("score").alias("lexical"), F.bool_or(F.col("lane") == "and").alias("and_hit")), ["qid", "id"])
-    top = R.top_fused(fused, R.SHORTLIST)
-    attributes = docs.select(F.col("doc_id").alias("id"), "source", F.md5(F.col("text").cast("binary")).alias("digest"))
-    return top.join(attributes, "id").join(groups, "digest", "left")
+    groups = docs.select("doc_id", *key).groupBy("digest", "size").agg(F.min("doc_id").alias("dup_group"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    top = R.top_fused(R.fuse(lanes(spark, d)), R.SHORTLIST).withColumn("and_hit", F.col("lane_ranks")["and"].isNotNull())
+    return top.join(docs.select(F.col("doc_id").alias("id"), "source", *key), "id").join(groups, ["digest", "size"], "left")
 
 
 @query("dup_penalty", _CAND + " SELECT qid, id, dup_group, (CASE WHEN dup_group IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY qid, dup_group ORDER BY fused_rank) - 1 END)::INTEGER AS dup_penalty FROM cand")
@@ -290,8 +288,9 @@ def vector_rank_of_target(spark, d):
 @query("near_dup_groups", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS dup_group FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
 def near_dup_groups(spark, d):
     docs = table(spark, d, "documents")
-    groups = docs.groupBy("text").agg(F.min("doc_id").alias("dup_group"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return docs.select("doc_id", "text").join(groups, "text").select("doc_id", "dup_group")
+    rows = docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.length("text").alias("size"))
+    groups = rows.groupBy("digest", "size").agg(F.min("doc_id").alias("dup_group"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(groups, ["digest", "size"]).select("doc_id", "dup_group")
 
 
 @query("archive_page_search", f"""WITH t AS (SELECT conv_id, turn, text, list_distinct({S.terms('text')}) AS t FROM conversations WHERE role = 'assistant')
