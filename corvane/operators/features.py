@@ -42,8 +42,8 @@ FIXED_PROFILES = {"naive": {"vector": 1.0}, "fixedRrf": {"and": 1.0, "or": 1.0,
 AMBIGUOUS_RATIO = 1.25
 
 
-def term_features(questions: DataFrame, frequency: DataFrame, total_docs: int, w: Weighting) -> DataFrame:
-    """questions (qid, text), frequency (stem, df) -> qid, n_terms, n_stems, max_idf, mean_idf, rare_terms, oov_ratio, looks_paraphrase, typo_suspect."""
+def term_features(questions: DataFrame, frequency: DataFrame, total_docs: int, w: Weighting, confident: DataFrame | None = None) -> DataFrame:
+    """questions (qid, text), frequency (stem, df), confident (qid: those that surely name someone) -> qid, n_terms, n_stems, max_idf, mean_idf, rare_terms, oov_ratio, looks_paraphrase, typo_suspect."""
     asked = questions.select("qid", F.size(T.terms(F.col("text"))).alias("n_terms"), F.explode_outer(T.content_terms(F.col("text"))).alias("term"))
     known = stemmed(asked.select("term").where("term is not null").distinct()).join(frequency, "stem", "left")
     idf = F.when(F.col("df") > 0, F.log(F.lit(float(max(1, total_docs))) / F.col("df")))
@@ -55,8 +55,11 @@ def term_features(questions: DataFrame, frequency: DataFrame, total_docs: int, w
     )
     out = out.withColumn("oov_ratio", F.when(F.col("n_stems") > 0, F.col("n_oov") / F.col("n_stems")).otherwise(0.0))
     paraphrase = (F.col("n_terms") >= w.paraphrase_min_terms) & (F.col("oov_ratio") >= w.paraphrase_oov_floor)
+    if confident is not None:  # who names a person doesn't paraphrase
+        out = out.join(confident.select("qid", F.lit(True).alias("named")).distinct(), "qid", "left")
+        paraphrase = paraphrase & F.col("named").isNull()
     typo = (F.col("oov_ratio") >= w.oov_ratio_floor) & (F.col("n_terms") <= w.typo_max_terms)
-    return out.withColumn("looks_paraphrase", paraphrase).withColumn("typo_suspect", typo).drop("n_oov")
+    return out.withColumn("looks_paraphrase", paraphrase).withColumn("typo_suspect", typo).drop("n_oov", "named")
 
 
 def lane_weights(w: Weighting, max_idf: Column, looks_paraphrase: Column, typo_suspect: Column, has_person: Column, has_date: Column) -> dict[str, Column]:

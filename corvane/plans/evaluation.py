@@ -138,23 +138,6 @@ def certificates(spark, d):
     return M.certificate(M.lane_ceilings(h, tg), overlap, 24).select("qid", "id", "signals", "solvable", F.round(F.coalesce("overlap", F.lit(0.0)), 6).alias("overlap"))
 
 
-@query("failure_taxonomy", _LANES + f""", {_TARGETS}, f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS fr FROM (SELECT qid, id, round(sum(weight / (60 + rnk)), 9) AS rrf FROM lanes GROUP BY qid, id)),
-g AS (SELECT doc_id AS id, md5(text) AS grp FROM documents), top AS (SELECT f.qid, grp FROM f JOIN g USING (id) WHERE fr <= 10),
-x AS (SELECT tg.qid, tg.id, fr, (SELECT count(*) FROM top WHERE top.qid = tg.qid AND top.grp = g.grp) AS siblings FROM tg JOIN g USING (id) LEFT JOIN f ON f.qid = tg.qid AND f.id = tg.id)
-SELECT qid, id, fr::INTEGER AS fused_rank, CASE WHEN fr IS NULL THEN 'not_retrieved' WHEN siblings >= 3 THEN 'crowded_by_dups' WHEN fr <= 10 THEN 'lost_in_rerank' ELSE 'lost_in_fusion' END AS cause FROM x""")
-def failure_taxonomy(spark, d):
-    from corvane.operators import rank as R
-    from corvane.plans.retrieval import lanes
-
-    fused = R.top_fused(R.fuse(lanes(spark, d)), 1_000).select("qid", "id", "fused_rank")
-    group = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("grp"))
-    shown = fused.where("fused_rank <= 10").join(group, "id").groupBy("qid", "grp").agg(F.count(F.lit(1)).alias("siblings"))
-    wanted = targets(spark, d).join(group, "id").join(fused, ["qid", "id"], "left").join(shown, ["qid", "grp"], "left")
-    no = F.lit(False)
-    cause = M.failure_cause(no, no, F.col("fused_rank").isNotNull(), no, F.coalesce("siblings", F.lit(0)), F.lit(0), F.col("fused_rank"))
-    return wanted.select("qid", "id", "fused_rank", cause.alias("cause"))
-
-
 @query("oracle_summary", f"""WITH {S.VECTOR_SCORED}, k AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rnk FROM scored)
 SELECT k.qid, min(rnk)::INTEGER AS best_rank, count_if(rnk <= 10)::BIGINT AS within_10, count_if(rnk <= 100)::BIGINT AS within_100, round(avg(rnk), 6) AS mean_rank FROM k JOIN v ON v.id = k.id AND v.label = k.qid GROUP BY k.qid""")
 def oracle_summary(spark, d):

@@ -15,8 +15,9 @@ from corvane.plans import sqltext as S
 from corvane.plans.registry import query
 from corvane.sources import table
 
+_QUESTIONS = "qs AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')"
 _FEATURES = f"""WITH df0 AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({S.terms('text')}) AS term FROM documents) GROUP BY term),
-sdf AS (SELECT stem, max(df) AS df FROM ({S.stem('df0')}) GROUP BY stem), qs AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+sdf AS (SELECT stem, max(df) AS df FROM ({S.stem('df0')}) GROUP BY stem), {_QUESTIONS},
 t0 AS (SELECT conv_id, turn, unnest({S.content('text')}) AS term FROM qs), t1 AS ({S.stem('t0')}),
 t2 AS (SELECT t1.*, CASE WHEN df > 0 THEN ln((SELECT count(*) FROM documents)::DOUBLE / df) END AS idf FROM t1 LEFT JOIN sdf USING (stem)),
 g AS (SELECT conv_id, turn, count(*) AS n_stems, max(idf) AS max_idf, avg(idf) AS mean_idf, count_if(idf IS NULL)::BIGINT AS n_oov, list_sort(list_distinct(list(CASE WHEN idf >= 5.0 THEN stem END))) AS rare FROM t2 GROUP BY conv_id, turn),
@@ -37,22 +38,6 @@ def query_features(spark, d):
     return f.select("qid.conv_id", "qid.turn", "n_terms", "n_stems", F.round("max_idf", 6).alias("max_idf"), F.round("mean_idf", 6).alias("mean_idf"), F.array_join("rare_terms", " ").alias("rare_terms"), F.round("oov_ratio", 6).alias("oov_ratio"), "looks_paraphrase", "typo_suspect")
 
 
-@query("lane_weights", _FEATURES + """ SELECT conv_id, turn, round(least(3, greatest(0, 1.0 + CASE WHEN max_idf >= 5 THEN 1.8 ELSE 0 END - CASE WHEN para THEN 0.7 ELSE 0 END - CASE WHEN typo THEN 0.8 ELSE 0 END)), 6)::DOUBLE AS w_and,
- round(least(3, greatest(0, 1.0 - CASE WHEN para THEN 1.3 ELSE 0 END)), 6)::DOUBLE AS w_or, round(least(3, greatest(0, 1.0 + CASE WHEN para THEN 1.6 ELSE 0 END)), 6)::DOUBLE AS w_vector, round(CASE WHEN typo THEN 1.5 ELSE 0 END, 6)::DOUBLE AS w_trigram FROM w""")
-def lane_weights(spark, d):
-    no = F.lit(False)
-    w = Q.lane_weights(Q.PRODUCT, F.col("max_idf"), F.col("looks_paraphrase"), F.col("typo_suspect"), no, no)
-    return asked_features(spark, d).select("qid.conv_id", "qid.turn", *[F.round(c, 6).alias(f"w_{lane}") for lane, c in w.items()])
-
-
-@query("entity_extraction", """WITH q AS (SELECT page_id AS qid, ' ' || regexp_replace(lower(url), '[^a-z0-9_]', ' ', 'g') || ' ' AS t FROM pages), a AS (SELECT DISTINCT lang AS slug, ' ' || lang || ' ' AS al FROM documents WHERE lang IS NOT NULL)
-SELECT qid, slug, instr(t, al)::INTEGER AS place, false AS ambiguous FROM q JOIN a ON contains(t, al)""")
-def entity_extraction(spark, d):
-    """Which languages an address names, by their codes."""
-    aliases = table(spark, d, "documents").where("lang is not null").select(F.col("lang").alias("slug"), F.col("lang").alias("alias"), F.lit(False).alias("ambiguous")).distinct()
-    return Q.entities(table(spark, d, "pages").select(F.col("page_id").alias("qid"), F.col("url").alias("text")), aliases)
-
-
 @query("array_overlap_filter", f"SELECT doc_id FROM documents WHERE list_has_any({S.terms('text')}, ['the', 'und', 'que']) AND NOT list_contains({S.terms('text')}, 'of')")
 def array_overlap_filter(spark, d):
     t = T.terms(F.col("text"))

@@ -193,15 +193,6 @@ def dup_penalty(spark, d):
     return candidates(spark, d).select("qid", "id", "dup_group", F.when(F.col("dup_group").isNull(), 0).otherwise(earlier).alias("dup_penalty"))
 
 
-@query("rerank_linear", _CAND + """, x AS (SELECT *, CASE WHEN dup_group IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY qid, dup_group ORDER BY fused_rank) - 1 END AS pen, max(rrf) OVER (PARTITION BY qid) AS top FROM cand),
-y AS (SELECT qid, id, round(6.0 * (rrf / top) + 0.5 * and_hit::INTEGER - 0.5 * pen, 9) AS score FROM x)
-SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS final_rank FROM y""")
-def rerank_linear(spark, d):
-    zero = {c: F.lit(0.0) for c in ("cosine", "entity", "recency", "date_fit")}
-    c = candidates(spark, d).withColumns(zero | {"rare_hit": F.col("and_hit"), "title_hit": F.lit(False)})
-    return R.rerank(c).select("qid", "id", "score", "final_rank")
-
-
 @query("owner_boost_priority", _CAND + """ SELECT qid, id, round(rrf * CASE WHEN source = 'src0' THEN 1.2 ELSE 1 END, 9) AS boosted,
 row_number() OVER (PARTITION BY qid ORDER BY and_hit DESC, round(rrf * CASE WHEN source = 'src0' THEN 1.2 ELSE 1 END, 9) DESC, id)::INTEGER AS place FROM cand""")
 def owner_boost_priority(spark, d):
@@ -211,24 +202,6 @@ def owner_boost_priority(spark, d):
     return c.select("qid", "id", "boosted", place.alias("place"))
 
 
-@query("admission_rule", f"""WITH {S.VECTOR_SCORED}, {S.ranked('scored', 'true', 50, 'lane')}, m AS (SELECT lane.*, v.label FROM lane JOIN v USING (id)) SELECT qid, id, score, label = qid AS or_hit FROM m WHERE label = qid OR score >= 0.7""")
-def admission_rule(spark, d):
-    """A vector hit stays if it is strong, or if another lane (here: the row's own label) has found the row."""
-    hit = L.vector_lane(centroids(spark, d), vectors(spark, d).select("id", "v"), 50).join(vectors(spark, d).select("id", "label"), "id")
-    hit = hit.withColumn("or_hit", F.col("label") == F.col("qid"))
-    no = F.lit(False)
-    return hit.where(R.admitted(F.col("or_hit"), no, no, no, F.col("score"))).select("qid", "id", "score", "or_hit")
-
-
-@query("answer_state", _CAND + """, h AS (SELECT qid, and_hit AS strong, CASE WHEN source = 'src0' THEN 'node' ELSE 'evidence' END AS layer, dup_group IS NOT NULL AS contradicted FROM cand),
-s AS (SELECT qid, bool_or(layer = 'node' AND strong AND contradicted) AS c, bool_or(layer = 'node' AND strong) AS n, bool_or(layer = 'evidence' AND strong) AS e FROM h GROUP BY qid)
-SELECT item_id AS qid, CASE WHEN n IS NULL THEN 'missing' WHEN c THEN 'conflicting' WHEN n THEN 'supported' WHEN e THEN 'evidence' ELSE 'partial' END AS state FROM benchmark LEFT JOIN s ON qid = item_id""")
-def answer_state(spark, d):
-    layer = F.when(F.col("source") == "src0", "node").otherwise("evidence")
-    h = candidates(spark, d).select("qid", layer.alias("layer"), F.col("and_hit").alias("strong"), F.col("dup_group").isNotNull().alias("contradicted"))
-    return R.answer_state(questions(spark, d), h)
-
-
 @query("rare_term_anchors", f"""WITH {S.query_terms(32)}, df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({S.terms('text')}) AS term FROM documents) GROUP BY term),
 r AS (SELECT qid, term, df, row_number() OVER w AS k, sum(df) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM qt JOIN df USING (term) WINDOW w AS (PARTITION BY qid ORDER BY df, term)),
 o AS (SELECT *, max(CASE WHEN k > 1 AND total > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY df, term ROWS UNBOUNDED PRECEDING) AS over_it FROM r)
