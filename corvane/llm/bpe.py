@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import bound_batches
+from corvane.llm.common import bound_batches, hold
 
 #: Entries of each memo; a full memo is emptied, which bounds a worker's memory and changes no result.
 MEMO = 300_000
@@ -205,6 +205,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", coder.cache_clear)
         bpe = coder(rank_file, pattern)
         for batch in batches:
             texts = batch.column(1)
@@ -222,6 +223,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
     """id, ids, decoded (binary): the bytes behind the ids; null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", coder.cache_clear)
         bpe = coder(rank_file, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -237,6 +239,7 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
     """id, ids, decoded: encode() and then decode() in one worker, for those who want both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", coder.cache_clear)
         bpe = coder(rank_file, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

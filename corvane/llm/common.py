@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_holder: list = []
+
+
+def hold(name: str, forget: Callable[[], object]) -> None:
+    """For the start of a task in a Python worker, which lives on from task to task and from operator to operator.
+
+    What the operator before has kept there (forget() drops it) is given up when another one comes, back to the system.
+    """
+    if _holder and _holder[0] != name:
+        _holder[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    _holder[:] = [name, forget]
+
+
 def hash60(*parts: Column | str) -> Column:
     """0 <= value < 2^60 from the MD5 of the parts: the same number in any SQL engine."""
     text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import bound_batches, free_name, hash60
+from corvane.llm.common import bound_batches, free_name, hash60, hold
 
 BITS, GRAMS = 15, (1, 2, 3)
 DIMS = 1 << BITS
@@ -186,6 +186,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return fit([], np.zeros(DIMS))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language", _letters.cache_clear)
         total, docs = np.zeros(DIMS + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
@@ -232,6 +233,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     texts_at, names = df.columns.index(text_col), [*df.columns, pred, score]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language", _letters.cache_clear)
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column(texts_at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.bpe import Memo
-from corvane.llm.common import bound_batches, cut, free_name, without
+from corvane.llm.common import bound_batches, cut, free_name, hold, without
 from corvane.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -53,6 +53,11 @@ def _word_hashes() -> Memo:
     return Memo(lambda word: xxhash.xxh3_64_intdigest(word))
 
 
+def _forget() -> None:
+    """At the end of each task that makes shingles: the worker lives on, and other stages need its memory."""
+    _word_hashes().clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -118,6 +123,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        hold("near_dups", _forget)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 texts = [t.as_py() for t in batch.column(1)[at : at + 1024]]
@@ -125,7 +131,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 made = [(_key(s), xxhash.xxh3_128_digest(t), signature(s).tobytes()) if len(s) else (None, None, None) for s, t in zip(sets, texts, strict=True)]
                 columns = [pa.array([m[k] for m in made], pa.binary()) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 1024], *columns], ["id", "key", "digest", "signature"])
-        _word_hashes().clear()  # the worker lives on, and other stages need its memory
+        _forget()
 
     binary = [T.StructField(c, T.BinaryType()) for c in ("key", "digest", "signature")]
     return df.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, T.StructType([T.StructField("id", df.schema[id_col].dataType), *binary]))
@@ -166,6 +172,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if reaches(np.array(both), np.array(len(x) + len(y) - both)):
                 stay.append(i)
         yield batch.select(["a", "b", "texts_a", "texts_b"]).take(pa.array(stay, pa.int64()))
+    _forget()
 
 
 CELL = ["nodes", "texts", "crowded", "signatures", "sizes", "sets"]
@@ -179,7 +186,7 @@ def _pack(table: pa.Table) -> pa.Table:
     found = _buckets(signatures)
     found[~np.isin(found, table.column("buckets").combine_chunks().flatten().to_numpy())] = 0
     sets = [shingles(t.as_py()) for t in table.column("text")]
-    _word_hashes().clear()
+    _forget()
     packed = zstandard.ZstdCompressor(level=3).compress(np.concatenate(sets).tobytes())
     nodes, texts = (table.column(c).to_numpy() for c in ("node", "texts"))
     cell = [nodes.tobytes(), texts.tobytes(), found.tobytes(), signatures.tobytes(), np.array([len(s) for s in sets], np.int64).tobytes(), packed]
@@ -350,6 +357,7 @@ def texts_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
         for batch in batches:
             keys = [_key(shingles(t.as_py())) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], ["key", "text"])
+        _forget()
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     rows = rows.join(wanted.select("low").distinct(), F.col("id").eqNullSafe(F.col("low")), "left_semi").select("text")

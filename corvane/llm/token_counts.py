@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corvane.llm.bpe import ByteBPE, coder
-from corvane.llm.common import bound_batches
+from corvane.llm.common import bound_batches, hold
 
 RULES = ("first", "last", "most")
 FIELDS = ["section", "start", "end", "n_tokens", "crossing"]
@@ -84,6 +84,7 @@ def count_tokens(df: DataFrame, rank_file: str, pattern: str, rule: str = "first
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", coder.cache_clear)
         bpe = coder(rank_file, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

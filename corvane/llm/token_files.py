@@ -3,7 +3,9 @@
 Documents are dealt to tasks by ranges of their id and sorted there; each task encodes its documents, appends the end
 id, and closes a block at BLOCK_TOKENS ids. A block is compressed by Re-Pair: the frequent pairs of neighbouring ids
 are replaced by new symbols (nonterminals), again and again, until no pair within documents occurs LEAST times. Where
-16-bit symbols run out it goes on with 32-bit ones, and the smaller of both results is kept. A block holds its rules, the
+16-bit symbols run out it goes on with 32-bit ones, and the smaller of both results is kept; it stops there if that is
+sure to be the narrow one: a symbol whose pairs with both neighbours are rare stays for good, since replacing others
+makes no pair more frequent, so the number of such symbols tells how short the wide result can get at best. A block holds its rules, the
 length to which each expands, where each document starts among symbols, and the symbols, so one document is decoded
 without the others. Blocks are the rows of a Parquet table (part, block, payload), which any store can hold; part and
 block put them in ascending order of ids.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bound_batches, cut
+from corvane.llm.common import bound_batches, cut, hold
 
 MAGIC = b"CVRP0001"
 END_ID = 2
@@ -133,7 +135,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
     room = (1 << 31 if wide else 1 << 16) - terminals
     seq, starts = ids, starts.astype(np.int64)
     rules, lengths = [], np.ones(terminals, np.uint32)
-    narrow = None
+    narrow, gone_wide = None, False
+    size = lambda seq, lengths: len(seq) * seq.itemsize + (len(lengths) - terminals) * (2 * seq.itemsize + 4)
     while len(seq) > 1:
         if room <= 0:
             if wide:
@@ -152,14 +155,23 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
         if not len(often):
             break
         floor = max(LEAST, int(times.max()) // 64)  # the most frequent first: what is rarer may be part of a longer pair later
-        often = often[times[often] >= floor]
-        often = often[np.argsort(-times[often], kind="stable")][: min(room, 1 << (HASH_BITS - 2))]
-        chosen = ordered[first[often]]
         factor, shift = (np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - HASH_BITS)) if wide else (np.uint32(0x9E3779B1), np.uint32(32 - HASH_BITS))
         spread = lambda p: (p * factor >> shift).astype(np.intp)
+        if narrow and not gone_wide:
+            gone_wide = True
+            repeated = np.zeros(1 << HASH_BITS, bool)
+            repeated[spread(ordered[first[often]])] = True  # pairs that share a slot with one count as repeated: the bound only gets weaker
+            moves = repeated[spread(pair)] & inside
+            for_good = len(seq) - np.count_nonzero(np.append(moves, False) | np.insert(moves, 0, False))
+            if 4 * for_good + 12 * (len(lengths) - terminals) >= size(narrow[0], narrow[3]):
+                break
+        often = often[times[often] >= floor]
+        often = often[np.argsort(-times[often], kind="stable")][: 1 << (HASH_BITS - 2)]
+        chosen = ordered[first[often]]
         slot = spread(chosen)
         _, at = np.unique(slot, return_index=True)  # of pairs in one slot the most frequent; the others have later rounds
-        chosen, slot = chosen[np.sort(at)], slot[np.sort(at)]
+        at = np.sort(at)[:room]
+        chosen, slot = chosen[at], slot[at]
         table_pair = np.full(1 << HASH_BITS, np.iinfo(pair.dtype).max, pair.dtype)
         table_at = np.zeros(1 << HASH_BITS, np.int64)
         table_pair[slot], table_at[slot] = chosen, np.arange(len(chosen))
@@ -182,7 +194,6 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int) -> tuple[np.nd
         keep[hit + 1] = False
         seq = seq[keep]
         starts = starts - np.searchsorted(hit, starts)
-    size = lambda seq, lengths: len(seq) * seq.itemsize + (len(lengths) - terminals) * (2 * seq.itemsize + 4)
     if narrow and size(narrow[0], narrow[3]) <= size(seq, lengths):
         seq, starts, rules, lengths = narrow
     return seq, starts, np.concatenate(rules).astype(seq.dtype) if rules else np.zeros((0, 2), seq.dtype), lengths[terminals:]
@@ -252,6 +263,7 @@ def write(df: DataFrame, tokenizer_file: str, end_id: int = END_ID, id_col: str
         from pyspark import TaskContext
 
         part, block = TaskContext.get().partitionId(), 0
+        hold("token_files", encoder.cache_clear)
         words = encoder(tokenizer_file)
         end = array(words.code, [end_id]).tobytes()
         doc_ids, packed, tokens = [], [], 0

@@ -87,6 +87,18 @@ def test_pair_replacement_goes_on_until_no_pair_repeats(length, terminals):
     assert all(np.array_equal(block.ids(k), part) for k, part in enumerate(np.split(ids, starts[1:])))
 
 
+def test_wide_symbols_only_where_they_may_pay(monkeypatch):
+    """Random ids with few repeats stay narrow without a wide round; long copies that narrow symbols can't hold go wide, and are smaller for it."""
+    rng = np.random.default_rng(9)
+    frequent = np.repeat(rng.integers(0, 65_000, (3000, 2)), 5, axis=0)
+    noise = rng.permutation(frequent).ravel().astype("<u2")
+    seq, _, rules, _ = token_files.compress(noise, np.array([0]), 65_000)
+    assert seq.dtype.itemsize == 2 and len(rules) <= 536
+    copies = np.tile(rng.integers(0, 65_000, 4000), 12).astype("<u2")
+    seq, _, rules, _ = token_files.compress(copies, np.array([0]), 65_000)
+    assert seq.dtype.itemsize == 4 and len(seq) < 2000
+
+
 def test_token_files_ascending_starts(spark):
     theirs = Tokenizer.from_file(WORDS)
     got = token_files.read(token_files.write(table(spark, ODD), WORDS, block_tokens=300)).collect()
