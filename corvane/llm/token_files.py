@@ -110,8 +110,18 @@ class WordEncoder:
         lists = [self._lists(t) for t in texts]
         if all(len(t) <= LONG_TEXT for t in texts):
             parts = [[c for part in it for c in part] if self.odd_blanks(t) else next(it) for it, t in zip(lists, texts, strict=True)]
-            self._learn(parts)
-            return [b"".join(map(self.memo.__getitem__, part)) for part in parts]
+            known, later = self.memo.__getitem__, []
+            for i, part in enumerate(parts):
+                try:
+                    out.append(b"".join(map(known, part)))
+                except KeyError:  # some chunk is new: those of all such texts are learned together
+                    out.append(b"")
+                    later.append(i)
+            if later:
+                self._learn([parts[i] for i in later])
+                for i in later:
+                    out[i] = b"".join(map(known, parts[i]))
+            return out
         for it in lists:
             pieces = []
             for part in it:
@@ -232,11 +242,21 @@ class Block:
         self.at = np.concatenate([np.arange(self.terminals), self.terminals + np.cumsum(self.lengths[self.terminals :]) - self.lengths[self.terminals :]])
         self.flat = np.empty(self.terminals + int(self.lengths[self.terminals :].sum()), np.uint32)
         self.flat[: self.terminals] = np.arange(self.terminals)
-        flat, places, lengths = self.flat, self.at.tolist(), self.lengths.tolist()
-        for r, (left, right) in enumerate(rules.tolist(), self.terminals):
-            at_r, n = places[r], lengths[left]
-            flat[at_r : at_r + n] = flat[places[left] : places[left] + n]
-            flat[at_r + n : at_r + lengths[r]] = flat[places[right] : places[right] + lengths[right]]
+        sides = rules.astype(np.int64).T
+        known, left = np.arange(self.terminals + n_rules) < self.terminals, np.arange(n_rules)
+        while len(left):  # all rules whose symbols are expanded by now, at once
+            ready = known[sides[0, left]] & known[sides[1, left]]
+            if not ready.any():
+                raise ValueError("rules that name each other")
+            rule = left[ready]
+            to = self.at[self.terminals + rule]
+            for side in sides[:, rule]:
+                n = self.lengths[side]
+                within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                self.flat[np.repeat(to, n) + within] = self.flat[np.repeat(self.at[side], n) + within]
+                to = to + n
+            known[self.terminals + rule] = True
+            left = left[~ready]
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
         n = self.lengths[seq]
