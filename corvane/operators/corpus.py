@@ -33,6 +33,41 @@ def generate(spark: SparkSession, n: int, seed: str, words: list[str]) -> DataFr
     return rows.withColumn("rare_token", F.when(F.col("family") == "rare_token", token))
 
 
+def questions_of(memories: DataFrame, seed: str) -> DataFrame:
+    """memories of generate() with a question each, made by the builder of the memory's family."""
+    word = lambda c, i: F.get(F.split(c, " "), i)
+    a, b, c = word("title", 0), word("title", 1), word("body", 0)
+    token = F.concat(F.substring(F.md5(F.concat(F.lit(seed), F.col("id").cast("string")).cast("binary")), 1, 3), F.lit("-"), draw(seed, "rare", F.col("id"), 9000) + 1000)
+    text = {
+        "rare_token": F.concat(F.lit("what was "), token), "entity_swap": F.concat_ws(" ", b, a), "near_dup": F.concat_ws(" ", a, b, c), "date_filter": F.concat(a, F.lit(" in "), F.year(F.col("occurred_at").cast("date"))),
+        "partial_ref": F.concat(F.lit("the "), a), "typo_noisy": F.concat_ws(" ", with_typo(a, F.lit(1)), b),
+    }
+    question = F.concat(F.lit("something like "), c)
+    for family, made in text.items():
+        question = F.when(F.col("family") == family, made).otherwise(question)
+    return memories.withColumn("question", question)
+
+
+def shuffled(rows: DataFrame, seed: str, key: str = "id") -> DataFrame:
+    """key, place: a seeded order. Places are counted in two steps, by the digest's first byte and within it, so no task holds all rows."""
+    digest = F.md5(F.concat(F.lit(f"{seed}/shuffle/"), F.col(key).cast("string")).cast("binary"))
+    rows = rows.select(key, digest.alias("digest")).withColumn("lead", F.substring("digest", 1, 2))
+    sizes = rows.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("lead", F.coalesce(F.sum("n").over(Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 256 rows
+    within = F.row_number().over(Window.partitionBy("lead").orderBy("digest", key)) - 1
+    return rows.withColumn("within", within).join(before, "lead").select(key, (F.col("before") + F.col("within")).alias("place"))
+
+
+def retarget(rows: DataFrame, space: int, seed: str, rounds: int) -> DataFrame:
+    """rows (id, family) -> id, target, rounds: the first target, of one drawn a round, that is another row of the same family; null if none is."""
+    tried = rows.select("id", "family", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"))
+    label = F.concat(F.lit(f"{seed}/retarget/"), "r", F.lit("/"), "id")
+    tried = tried.withColumn("target", F.conv(F.substring(F.md5(label.cast("binary")), 1, 15), 16, 10).cast("long") % space)
+    fits = tried.join(rows.select(F.col("id").alias("target"), "family"), ["target", "family"]).where("target <> id")
+    first = fits.groupBy("id").agg(F.min(F.struct("r", "target")).alias("f"))
+    return rows.join(first, "id", "left").select("id", F.col("f.target").alias("target"), F.coalesce(F.col("f.r") + 1, F.lit(rounds)).alias("rounds"))
+
+
 def with_typo(word: Column, at: Column) -> Column:
     """Two neighbouring characters swapped, from place `at` (1-based)."""
     return F.concat(F.substring(word, F.lit(1), at - 1), F.substring(word, at + 1, F.lit(1)), F.substring(word, at, F.lit(1)), F.substring(word, at + 2, F.length(word)))

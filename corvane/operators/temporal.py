@@ -65,3 +65,9 @@ def walk(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     for part in out[1:]:
         whole = whole.unionByName(part)
     return whole
+
+
+def with_inverses(relations: DataFrame, names: DataFrame) -> DataFrame:
+    """relations (source, predicate, target) and, for predicates that have an inverse (predicate, inverse), the same the other way round."""
+    back = relations.join(names, "predicate").select(F.col("target").alias("source"), F.col("inverse").alias("predicate"), F.col("source").alias("target"))
+    return relations.unionByName(back)
