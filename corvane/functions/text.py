@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,6 +118,15 @@ def strip_tagged(text: Column, tags: list[str]) -> Column:
     return text
 
 
+@functools.lru_cache(maxsize=100_000)
+def stem_of(word: str) -> str:
+    """stem() of one word, by the same rules, for functions that run in Python anyway."""
+    stripped = word
+    for pattern, put in SUFFIX_RULES:
+        stripped = re.sub(pattern, put.replace("$1", r"\1"), stripped)
+    return word if len(word) < 4 else stripped
+
+
 def certificate_terms(text: Column) -> Column:
     """The words that certificates are made of: another tokenizer than that of retrieval."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions.dates import MONTHS
-from corvane.functions.text import TERM, is_stopword, stem, terms
+from corvane.functions.text import STOPWORDS, TERM, stem_of
 
 #: Characters of an excerpt, and how many of a question's terms it looks for.
 EXCERPT, QUERY_STEMS = 700, 32
@@ -83,18 +83,20 @@ def excerpt_of(text: str, stems: dict[str, str], limit: int = EXCERPT) -> tuple[
     return int(units[lo]), text[lo:hi]
 
 
+def stems_of(text: str, question: str) -> dict[str, str]:
+    """The words of a text that share a stem with one of a question's first terms. Stems differ from words in the end only: others needn't be made."""
+    asked = {stem_of(t) for t in [t for t in _TERM.findall(question.lower()) if t not in STOPWORDS][:QUERY_STEMS]}
+    begins = {s[:2] for s in asked}
+    return {w: s for w in set(_TERM.findall(text.lower())) if w[:2] in begins and (s := stem_of(w)) in asked}
+
+
 def excerpt(text: Column, question: Column) -> Column:
-    """struct(start, excerpt). Stems are made by expressions; only the search for a window is Python."""
-    asked = F.transform(F.slice(F.filter(terms(question), lambda t: ~is_stopword(t)), 1, QUERY_STEMS), stem)
-    words = F.transform(F.array_distinct(terms(text)), lambda t: F.struct(t.alias("word"), stem(t).alias("stem")))
-    wanted = F.filter(words, lambda w: F.array_contains(asked, w["stem"]))
-    word = lambda part: F.transform(wanted, lambda w: w[part])
+    """struct(start, excerpt)"""
 
-    def run(text: pd.Series, words: pd.Series, stems: pd.Series) -> pd.DataFrame:
-        rows = [(0, "") if t is None else excerpt_of(t, dict(zip(w if w is not None else (), s if s is not None else (), strict=True))) for t, w, s in zip(text, words, stems, strict=True)]
-        return pd.DataFrame(rows, columns=["start", "excerpt"])
+    def run(text: pd.Series, question: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(0, "") if t is None else excerpt_of(t, stems_of(t, q or "")) for t, q in zip(text, question, strict=True)], columns=["start", "excerpt"])
 
-    return F.pandas_udf(run, "start long, excerpt string")(text, word("word"), word("stem"))
+    return F.pandas_udf(run, "start long, excerpt string")(text, question)
 
 
 def canonical_json_of(value: str | None) -> str | None:

@@ -17,9 +17,10 @@ RECENCY_HALF_LIFE_DAYS, DATE_FIT_HALF_LIFE_DAYS = 730.5, 365.25
 def fuse(lanes: DataFrame, k: int = RRF_K) -> DataFrame:
     """lanes (qid, lane, id, score, rnk, weight) -> qid, id, rrf, lane_ranks, lexical (the best score of all lanes).
 
-    A lane of weight 0 adds and admits nothing.
+    A lane of weight 0 adds and admits nothing. Lanes may come without scores; lexical is null then.
     """
     heard = lanes.where("weight <> 0")
+    heard = heard if "score" in heard.columns else heard.withColumn("score", F.lit(None).cast("double"))
     per_lane = heard.groupBy("qid", "id", "lane").agg(F.sum(F.col("weight") / (k + F.col("rnk"))).alias("part"), F.min("rnk").alias("rnk"), F.max("score").alias("score"))
     ranks = F.map_from_entries(F.sort_array(F.collect_list(F.struct("lane", "rnk")))).alias("lane_ranks")
     return per_lane.groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("rrf"), ranks, F.max("score").alias("lexical"))

@@ -151,7 +151,10 @@ def redact_ssn_cards(spark, d):
     return docs.select("doc_id", F.md5(no_ssn.cast("binary")).alias("no_ssn"), F.col("text").rlike(redact.SSN).alias("has_ssn"), F.size(redact.cards(F.col("text"))).alias("n_cards"))
 
 
-@query("redact_evidence_quotes")
+@query("redact_evidence_quotes", r"""WITH n AS (SELECT doc_id, text, regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') AS ssn, regexp_replace(text, '\b\d{3}-\d{2}-\d{4}\b', '', 'g') AS t FROM documents),
+m AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(t, '\b(?:\d[ -]?){13,19}\b')), '[ -]', '', 'g') AS d FROM n), c AS (SELECT DISTINCT doc_id FROM m WHERE LUHN)
+SELECT n.doc_id, array_to_string(list_filter([CASE WHEN ssn THEN 'ssn_pattern' END, CASE WHEN c.doc_id IS NOT NULL THEN 'credit_card_pattern' END], lambda r: r IS NOT NULL), ',') AS reasons,
+ CASE WHEN ssn THEN '[REDACTED:ssn_pattern]' WHEN c.doc_id IS NOT NULL THEN '[REDACTED:credit_card_pattern]' ELSE text END AS quote FROM n LEFT JOIN c ON c.doc_id = n.doc_id""".replace("LUHN", "list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN substr(d, length(d) - i, 1)::INTEGER * 2 > 9 THEN substr(d, length(d) - i, 1)::INTEGER * 2 - 9 ELSE substr(d, length(d) - i, 1)::INTEGER * 2 END ELSE substr(d, length(d) - i, 1)::INTEGER END)) % 10 = 0"))
 def redact_evidence_quotes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(redact.reasons(F.col("text")), ",").alias("reasons"), redact.redact_quote(F.col("text")).alias("quote"))
 

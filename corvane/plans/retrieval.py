@@ -278,7 +278,7 @@ def archive_page_search(spark, d):
 
 @query("lane_ivf_topk")
 def lane_ivf_topk(spark, d):
-    """Inverted lists around k-means centres, a few lists probed: approximate, so it has no SQL."""
+    """Inverted lists around k-means centres: approximate, so it has no SQL. These vectors don't cluster, so 0.9 of the exact rows take 13 of 16 lists."""
     from corvane.operators.ivf import ivf_lane
 
-    return ivf_lane(centroids(spark, d), vectors(spark, d).select("id", "v"), lists=16, probes=4, k=30)
+    return ivf_lane(centroids(spark, d), vectors(spark, d).select("id", "v"), lists=16, probes=13, k=30)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import corpus, features, ingest, lanes, metrics, postings, rank, temporal
-from corvane.plans import evaluation
+from corvane.plans import evaluation, lab, retrieval  # noqa: F401
 from corvane.streaming import ingest as streams
 
 
@@ -148,8 +148,8 @@ def test_bootstrap_of_constant_values(spark):
 
 
 def test_bootstrap_query_draws_ten_thousand_resamples(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id").collect()
-    x = [float(label) for label, _ in sorted(tuple(r) for r in rows)]
+    rows = evaluation.ranks(spark, sf_dir).select("qid", "rank").collect()
+    x = [float(rank is not None and rank <= 10) for _, rank in sorted((r.qid, r["rank"]) for r in rows)]
     n = len(x)
     place = lambda r, i: int(hashlib.md5(f"boot:{r}:{i}".encode()).hexdigest()[:15], 16) % n
     means = sorted(round(sum(x[place(r, i)] for i in range(n)) / n, 9) for r in range(10_000))
@@ -202,3 +202,56 @@ def test_trigram_lane_by_matrix_and_by_postings(spark, monkeypatch):
     by_matrix = rows(lanes.trigram_lane(q, docs, 2, 0.3))
     monkeypatch.setattr(lanes, "MATRIX_QUESTIONS", 0)
     assert by_matrix == rows(lanes.trigram_lane(q, docs, 2, 0.3)) and (1, 5, 1.0, 1) in by_matrix
+
+
+def test_batches_close_before_they_grow_too_large(spark):
+    from corvane.operators import records as R
+
+    rows = spark.createDataFrame([("a", i, n) for i, n in enumerate([5, 5, 20, 1, 1, 1, 9])] + [("b", 0, 3)], "g string, o long, n int")
+    got = {(r.g, r.o): r.batch for r in R.pack_batches(rows, "g", "o", "n", 3, 10).collect()}
+    assert [got["a", i] for i in range(7)] == [0, 0, 1, 2, 2, 2, 3] and got["b", 0] == 0
+    padded = {(r.g, r.o): r.batch for r in R.pack_batches(rows, "g", "o", "n", 9, 10, padded=True).collect()}
+    assert [padded["a", i] for i in range(7)] == [0, 0, 1, 2, 2, 2, 3]
+    assert R.pack_batches(rows.limit(0), "g", "o", "n", 3, 10).count() == 0
+
+
+def test_lists_that_ended_do_not_start_again(spark):
+    from corvane.operators import records as R
+
+    rows = spark.createDataFrame([("a", i) for i in range(5)] + [("b", i) for i in range(5)], "kind string, id long")
+    seen, cursors = [], {"a": -1, "b": 2}
+    while any(c is not None for c in cursors.values()):
+        page = R.next_page(rows, cursors, 2).collect()
+        seen += [(r.kind, r.id) for r in page]
+        cursors = {k: next((r.next for r in page if r.kind == k), None) for k in cursors}
+    assert sorted(seen) == [("a", i) for i in range(5)] + [("b", 3), ("b", 4)]
+
+
+def test_writes_on_odd_requests(spark):
+    from corvane.operators import writes as W
+
+    ids = spark.createDataFrame([("x",), ("y",), ("z",)], "id string")
+    assert [[r.id for r in W.rotation(ids, after, 2).orderBy("nth").collect()] for after in (None, "x", "y", "zz")] == [["x", "y"], ["y", "z"], ["z", "x"], ["x", "y"]]
+    rows = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "k int, v int")
+    changes = spark.createDataFrame([(1, 1, 7), (1, 2, None), (3, 1, 8)], "k int, at int, value int")
+    assert sorted(map(tuple, W.overlay(rows, changes, "k", "v").collect())) == [(1, None), (2, 6), (3, 8)]
+    nested = spark.createDataFrame([(1, ("987-65-4321", [("4111 1111 1111 1111",), (None,)], None))], "k int, a struct<source_id:string,m:array<struct<t:string>>,empty:array<string>>")
+    assert sorted((r.path, r.clean) for r in W.scrub_struct(nested, "a").collect()) == [("m.0.t", "[REDACTED:credit_card_pattern]"), ("source_id", "987-65-4321")]
+
+
+def test_inverted_lists_find_what_the_exact_lane_finds(spark, sf_dir):
+    from corvane.plans import registry
+
+    sweep = {r.probes: r for r in registry.QUERIES["index_sweep"](spark, sf_dir).collect()}
+    assert sweep[16].hit_at_30 == 1.0 and sweep[1].hit_at_30 <= sweep[4].hit_at_30 <= sweep[8].hit_at_30
+    exact = {(r.qid, r.id) for r in registry.QUERIES["lane_vector_topk"](spark, sf_dir).where("rnk <= 30").collect()}
+    found = {(r.qid, r.id) for r in registry.QUERIES["lane_ivf_topk"](spark, sf_dir).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_a_text_is_found_by_its_inner_words(spark):
+    from corvane.operators import lanes as L
+
+    asked = spark.createDataFrame([(1, "ree big words stand he"), (2, "hi"), (3, "a b  c d e"), (4, "no such words in any row")], "qid long, text string")
+    rows = spark.createDataFrame([(10, "three big words stand here"), (11, "xhix"), (12, "z a b  c d e z"), (13, "a b c d e"), (14, None)], "id long, page string")
+    assert sorted(map(tuple, L.holders(asked, rows).collect())) == [(1, 10), (2, 11), (3, 12)]
