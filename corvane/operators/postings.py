@@ -88,7 +88,8 @@ def question_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame)
 
 def stemmed(vocabulary: DataFrame) -> DataFrame:
     """vocabulary (term, ...) with the stem of each term; meant for distinct terms, not for a text's."""
-    return vocabulary.withColumn("stem", T.stem(F.col("term")))
+    # Never null, so that no join makes the stems a second time to see whether they are.
+    return vocabulary.withColumn("stem", F.coalesce(T.stem(F.col("term")), F.lit("")))
 
 
 def stem_frequency(docs: DataFrame, text_col: str) -> DataFrame:
