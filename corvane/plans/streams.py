@@ -23,7 +23,7 @@ def stream_turn_ingest(spark, d):
 def stream_event_windows(spark, d):
     root = scratch(spark, "windows")
     S.windowed_counts(S.read_stream(spark, f"{d}/events.parquet"), f"{root}/out", f"{root}/checkpoint", "ts", "event_type", "1 hour", "1 day")
-    return spark.read.parquet(f"{root}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return S.read_latest(spark, f"{root}/out", ["window_start", "event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stream_temporal_state", _STATE + " SELECT * FROM state")
@@ -31,4 +31,4 @@ def stream_temporal_state(spark, d):
     root = scratch(spark, "state")
     events = state_events(None, None, S.read_stream(spark, f"{d}/events.parquet"))
     S.running_state(events, f"{root}/out", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/out")
+    return S.read_latest(spark, f"{root}/out", ["node_id"])

@@ -50,14 +50,26 @@ def read_ledger(spark: SparkSession, ledger: str, schema) -> DataFrame:
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", ledger).parquet(ledger)
 
 
+def keep_changes(changes: DataFrame, out: str, checkpoint: str) -> None:
+    """The rows that each batch has changed, in a folder of its own: nothing that was written is written again."""
+    run_available(changes, checkpoint, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"), "update")
+
+
+def read_latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """Each key's row as the last batch that changed it has left it."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    columns = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = F.max_by(F.struct(*columns), "batch").alias("last")
+    return rows.groupBy(*keys).agg(last).select(*keys, *[F.col(f"last.{c}") for c in columns])
+
+
 def windowed_counts(stream: DataFrame, out: str, checkpoint: str, time: str, by: str, width: str, late: str) -> None:
-    """Tumbling windows with a watermark; every change of a window's count overwrites the whole small result."""
+    """Tumbling windows with a watermark: windows that it has passed leave the state, changed ones are written."""
     windows = stream.withColumn("at", F.col(time).cast("timestamp")).withWatermark("at", late).groupBy(F.window("at", width).alias("w"), by)
     counts = windows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    flat = counts.select(F.col("w.start").alias("window_start"), by, "n", "total")
-    run_available(flat, checkpoint, lambda batch, _: batch.write.mode("overwrite").parquet(out), "complete")
+    keep_changes(counts.select(F.col("w.start").alias("window_start"), by, "n", "total"), out, checkpoint)
 
 
 def running_state(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """The latest state of each node, kept by the stream's own aggregation."""
-    run_available(G.latest_state(stream), checkpoint, lambda batch, _: batch.write.mode("overwrite").parquet(out), "complete")
+    """The latest state of each node, kept by the stream's own aggregation; a batch writes the nodes it has changed."""
+    keep_changes(G.latest_state(stream), out, checkpoint)
