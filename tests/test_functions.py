@@ -138,3 +138,15 @@ def test_deadlines(text, due):
 def test_canonical_json(spark):
     assert one(spark, '{"b": ', U.canonical_json) is None and one(spark, None, U.canonical_json) is None
     assert one(spark, '{"b": [1, {"d": "é", "c": null}], "a": 2.5}', U.canonical_json) == '{"a":2.5,"b":[1,{"c":null,"d":"é"}]}'
+
+
+def test_word_extents_against_every_extent():
+    rng = random.Random(8)
+    words = ["red", "reed", "door", "odor", "key", "keys", "a", "zebra"]
+    grams = lambda ws: {f"  {w} "[i : i + 3] for w in ws for i in range(len(w) + 1)}
+    for _ in range(300):
+        q, t = ([rng.choice(words) for _ in range(rng.randint(0, n))] for n in (3, 9))
+        a = grams(q)
+        extents = [grams(t[i:j]) for i in range(len(t)) for j in range(i + 1, min(len(t), i + len(q) + U.EXTRA_WORDS) + 1)] if q else []
+        want = max((len(a & e) / len(a | e) for e in extents), default=0.0)
+        assert U.word_similarity_of(" ".join(q), " ".join(t)) == pytest.approx(want), (q, t)

@@ -1,6 +1,7 @@
 """Lanes, fusion, reranking, state, graph, ingestion and metrics on small fixtures."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -255,3 +256,15 @@ def test_a_text_is_found_by_its_inner_words(spark):
     asked = spark.createDataFrame([(1, "ree big words stand he"), (2, "hi"), (3, "a b  c d e"), (4, "no such words in any row")], "qid long, text string")
     rows = spark.createDataFrame([(10, "three big words stand here"), (11, "xhix"), (12, "z a b  c d e z"), (13, "a b c d e"), (14, None)], "id long, page string")
     assert sorted(map(tuple, L.holders(asked, rows).collect())) == [(1, 10), (2, 11), (3, 12)]
+
+
+def test_chunks_cover_a_transcript_in_order():
+    rng = random.Random(2)
+    for _ in range(60):
+        text = "".join(rng.choice(["word ", "[0:01:02] said ", "x" * rng.choice([1, 40, 1600]), "\n", " " * 700]) for _ in range(rng.randint(0, 400)))
+        spans = ingest.chunk(text)
+        assert all(lo < hi for lo, hi in spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        inside = "".join(text[lo:hi] for lo, hi in spans)
+        assert "".join(inside.split()) == "".join(text.split())
+        assert all(hi - lo <= ingest.MOST_CHARS + ingest.LEAST_CHARS for lo, hi in spans)
+        assert all(hi - lo <= ingest.MOST_CHARS for lo, hi in spans[:-1])
