@@ -5,11 +5,14 @@ anisotropic error, in which the part of the residual parallel to the vector, the
 matter, costs ETA times the rest; codes are chosen by coordinate descent and centres by solving the weighted least
 squares over all of them together. The centres are fitted on a bounded SAMPLE; every row is coded and searched.
 
-Rows become blocks of codes where they are read; vectors stay behind. A block of codes and a block of queries meet in
-a task, where the tables of inner products between a query and all centres (joined two by two, so one byte of code is
-one look-up) score every row. A query keeps its `rerank` ids with the highest such scores, in the task and then over
-all tasks. Only then vectors move: those of rows that some query of a block has kept, once a block, to be scored
-exactly, in double precision, against the original queries. The best k of a query come last.
+Rows are coded at unit length, with their norm beside the code; what the centres leave over is kept as 16-bit steps of
+the row's own size, with the length of what is missing even then. Blocks of codes are made where rows are read; vectors
+stay behind. A block of codes and a block of queries meet in a task, where the tables of inner products between a query
+and all centres (joined two by two, so one byte of code is one look-up), and the steps, give every row a score that is
+off by no more than a known bound. A query keeps each row whose score can reach the `rerank`-th best sure one, in the
+task and then over all tasks, however many those are: no row that belongs to the nearest is lost, whatever the vectors
+are like. Only then vectors move: those of rows that some query of a block has kept, once a block, to be scored exactly,
+in double precision, against the original queries. The best k of a query come last.
 
 The scan looks at all pairs of queries and codes: time grows with rows times queries. What moves: the codes once per
 block of queries (QUERY_BYTES), the queries once per SLICE row blocks, a few numbers for each kept id, kept vectors.
@@ -28,6 +31,10 @@ CENTRES, SAMPLE, ROUNDS = 16, 4096, 3
 ROW_BLOCK, QUERY_BLOCK, SLICE = 8_192, 512, 32
 #: Bytes of a block of queries at most, where there are more than 32 blocks of QUERY_BLOCK; of a block's vectors to be scored exactly.
 QUERY_BYTES, EXACT_BYTES = 16 << 20, 64 << 20
+#: Steps to which what the centres leave over is rounded; rows that a task holds at most before it hands them on.
+STEPS, HELD = 32_767, 4_000_000
+#: The columns of a block of coded rows.
+BLOCK = ["rows", "ids", "codes", "steps", "sizes"]
 #: Scores above this share of the norms' product are the ones to get right.
 THRESHOLD = 0.2
 
@@ -106,46 +113,84 @@ def scan(queries: np.ndarray, codes: np.ndarray, centres: np.ndarray) -> np.ndar
     return total
 
 
-def rerank_of(n: int) -> int:
-    """How many ids a query keeps of n rows for exact scoring: more among more."""
-    return int(256 * max(1.0, n / 16_384) ** 0.25)
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x at unit length and its norms, neither of which overflows or vanishes where squares would."""
+    most = np.abs(x).max(1, keepdims=True)
+    y = x / most
+    length = np.sqrt((y * y).sum(1, keepdims=True))
+    return y / length, (most * length)[:, 0]
+
+
+def encode(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of unit length: packed codes, steps of what is left over, and (step, bound): how far a score over the norms may be off.
+
+    The bound holds what is still missing and the rounding of the look-ups and sums, all in single precision.
+    """
+    codes = assign(x, centres, eta(x.shape[1]))
+    near = centres[np.arange(codes.shape[1]), codes].reshape(len(x), -1)
+    rest = x - near[:, : x.shape[1]]
+    step = (np.maximum(np.abs(rest).max(1), 1e-30) / STEPS).astype(np.float32).astype(np.float64)
+    steps = np.clip(np.rint(rest / step[:, None]), -STEPS - 1, STEPS).astype(np.int16)
+    missing = rest - steps * step[:, None]
+    length = lambda y: np.sqrt((y * y).sum(1))
+    bound = length(missing) * (1 + 1e-6) + (x.shape[1] + 16) * 2.0**-23 * (length(near) + length(rest) + 1e-6)
+    return (codes[:, 0::2] * CENTRES + codes[:, 1::2]).astype(np.uint8), steps, np.stack([step, bound], 1)
 
 
 class Kept:
-    """The rows with the highest approximate scores for each query of a block.
+    """The rows that may be among the `most` best ids of each query of a block.
 
-    Of `most` ids, the nearest, each with at most `most` rows: where ids repeat, no id can crowd out the others.
+    A row's score lies between two numbers. Rows whose upper one is under the lower one of `most` other ids are dropped;
+    the rest is held, or handed on once there are more than HELD. Scores are without the query's own norm.
     """
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, centres: np.ndarray, most: int, repeats: bool):
-        self.query_ids, self.queries, self.centres, self.most, self.repeats = query_ids, queries, centres, most, repeats
-        self.lists = [(np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
+        self.query_ids, self.queries, self.centres, self.most, self.repeats = query_ids, unit(queries)[0], centres, most, repeats
+        self.lists = [self.nothing()] * len(queries)
+        self.sure = [(np.zeros(0), np.zeros(0, np.int64))] * len(queries)
+        self.least = np.full(len(queries), -np.inf)
+
+    @staticmethod
+    def nothing() -> tuple[np.ndarray, ...]:
+        return np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, rows: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, steps: np.ndarray, norms: np.ndarray, step: np.ndarray, bound: np.ndarray) -> None:
+        steps = steps.astype(np.float32)
         for at in range(0, len(self.queries), 128):
-            rough = scan(self.queries[at : at + 128], codes, self.centres)
-            top = None
-            if not self.repeats and rough.shape[1] > self.most + 1:  # one more than needed: the query's own row may be among them
-                top = np.argpartition(rough, rough.shape[1] - self.most - 1, axis=1)[:, -self.most - 1 :]
-            for i, score in enumerate(rough, at):
-                pick = slice(None) if top is None else top[i - at]
-                own = ids[pick] != self.query_ids[i]
-                held = self.lists[i]
-                self.lists[i] = self._best(*(np.concatenate([h, new[pick][own]]) for h, new in zip(held, (score, rows, ids), strict=True)))
-
-    def _best(self, score: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not self.repeats:
-            if len(score) <= self.most:
-                return score, rows, ids
-            order = np.argpartition(score, len(score) - self.most)[-self.most :]
-            return score[order], rows[order], ids[order]
-        order = np.lexsort((rows, -score))
-        _, first, place, size = np.unique(ids[order], return_index=True, return_inverse=True, return_counts=True)
-        by_id = np.argsort(place, kind="stable")
-        nth = np.empty(len(order), np.int64)
-        nth[by_id] = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-        order = order[(np.argsort(np.argsort(first))[place] < self.most) & (nth < self.most)]
-        return score[order], rows[order], ids[order]
+            q = self.queries[at : at + 128]
+            score = scan(q, codes, self.centres) + (q.astype(np.float32) @ steps.T) * step
+            for i, one in enumerate(score, at):
+                high = (one + bound) * norms
+                pick = np.flatnonzero((high >= self.least[i]) & (ids != self.query_ids[i]))
+                if not len(pick):
+                    continue
+                low, high = (one[pick] - bound[pick]) * norms[pick], high[pick]
+                self._raise(i, low, ids[pick])
+                held = tuple(map(np.concatenate, zip(self.lists[i], (low, high, rows[pick], ids[pick]), strict=True)))
+                still = held[1] >= self.least[i]
+                self.lists[i] = tuple(c[still] for c in held)
+
+    def _raise(self, i: int, low: np.ndarray, ids: np.ndarray) -> None:
+        """The lower numbers of the `most` best ids so far, and the least of them once there are as many."""
+        low, ids = np.concatenate([self.sure[i][0], low]), np.concatenate([self.sure[i][1], ids])
+        if self.repeats:
+            order = np.argsort(-low, kind="stable")
+            first = order[np.sort(np.unique(ids[order], return_index=True)[1])[: self.most]]
+        else:
+            first = np.argpartition(-low, self.most - 1)[: self.most] if len(low) > self.most else slice(None)
+        self.sure[i] = low[first], ids[first]
+        if len(self.sure[i][0]) >= self.most:
+            self.least[i] = self.sure[i][0].min()
+
+    def held(self) -> int:
+        return sum(len(one[0]) for one in self.lists)
+
+    def take(self) -> tuple[np.ndarray, ...]:
+        """q, low, high, rows, ids of what is held, which is forgotten."""
+        q = np.repeat(np.arange(len(self.lists), dtype=np.int32), [len(one[0]) for one in self.lists])
+        out = (q, *(np.concatenate(c) for c in zip(*self.lists, strict=True)))
+        self.lists = [self.nothing()] * len(self.lists)
+        return out
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -175,15 +220,14 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     dims, n, n_queries = sizes[0]
     base = base.where(F.size("v") == dims)
     repeats = not base.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    most = max(k, rerank_of(n) if rerank is None else rerank)
+    most = max(k, rerank or 0)
     order = hash60("fit:", F.col("id"))
     share = min(1.0, SAMPLE / n) * float(1 << 60)
     sample = base.where(order.cast("double") <= share).select(order.alias("order"), "v").orderBy("order").limit(2 * SAMPLE).toArrow()
-    centres = fit(vectors(sample.column("v"), dims).astype(np.float64) if sample.num_rows else np.ones((1, dims)))
+    centres = fit(unit(vectors(sample.column("v"), dims).astype(np.float64))[0] if sample.num_rows else np.ones((1, dims)))
 
     query_blocks = max(1, min(32, -(-n_queries // QUERY_BLOCK)), -(-n_queries * dims * 8 // QUERY_BYTES))
     slices = -(-n // (ROW_BLOCK * SLICE))
-    rest = -(-n_queries // query_blocks * most * dims * 4 // EXACT_BYTES)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def index(batches):
@@ -191,8 +235,9 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
         for batch in batches:
             for at in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(at, ROW_BLOCK)
-                codes = assign(vectors(part.column(2), dims).astype(np.float64), centres, eta(dims))
-                held.append((part.column(0).to_numpy(), part.column(1).to_numpy(), (codes[:, 0::2] * CENTRES + codes[:, 1::2]).astype(np.uint8)))
+                v, norms = unit(vectors(part.column(2), dims).astype(np.float64))
+                codes, steps, sizes_ = encode(v, centres)
+                held.append((part.column(0).to_numpy(), part.column(1).to_numpy(), codes, steps, np.column_stack([norms, sizes_])))
                 if sum(len(h[0]) for h in held) >= ROW_BLOCK:
                     yield block(held)
                     held = []
@@ -200,7 +245,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
             yield block(held)
 
     def block(held):
-        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(c).tobytes()], pa.binary()) for c in zip(*held, strict=True)], ["rows", "ids", "codes"])
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(c).tobytes()], pa.binary()) for c in zip(*held, strict=True)], BLOCK)
 
     def plain(table: pa.Table) -> pa.Table:
         return pa.table({"query_block": table.column("query_block")[:1], "query_ids": [table.column("id").to_numpy().tobytes()], "q": [vectors(table.column("v"), dims).astype(np.float64).tobytes()]})
@@ -209,33 +254,40 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
         kept, now = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in ("query_block", "rows", "ids", "codes")}
+                row = {name: batch.column(name)[i].as_py() for name in ("query_block", *BLOCK)}
                 if row["query_block"] != now:
                     if kept:
-                        yield flush(kept, now)
+                        yield from flush(kept, now)
                     now, query_ids, q = row["query_block"], batch.column("query_ids")[i].as_py(), batch.column("q")[i].as_py()
                     kept = Kept(np.frombuffer(query_ids, np.int64), np.frombuffer(q).reshape(-1, dims), centres, most, repeats)
                 ids = np.frombuffer(row["ids"], np.int64)
-                kept.add(np.frombuffer(row["rows"], np.int64), ids, np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1))
+                sizes_ = np.frombuffer(row["sizes"]).reshape(len(ids), 3).T
+                kept.add(np.frombuffer(row["rows"], np.int64), ids, np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["steps"], np.int16).reshape(len(ids), dims), *sizes_)
+                if kept.held() > HELD:
+                    yield from flush(kept, now)
         if kept:
-            yield flush(kept, now)
+            yield from flush(kept, now)
 
     def flush(kept: Kept, query_block: int):
-        q = np.repeat(np.arange(len(kept.lists), dtype=np.int32), [len(one[0]) for one in kept.lists])
-        rough, rows, ids = (np.concatenate(c) for c in zip(*kept.lists, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), query_block, np.int32)), pa.array(q), pa.array(rows), pa.array(ids), pa.array(rough)], ["query_block", "q", "row", "id", "rough"])
+        q, low, high, rows, ids = kept.take()
+        for at in range(0, len(q), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q[part]), query_block, np.int32)), *(pa.array(c[part]) for c in (q, rows, ids, low, high))], ["query_block", "q", "row", "id", "low", "high"])
 
-    codes = cut(base.select("row", "id", "v").mapInArrow(index, "rows binary, ids binary, codes binary").withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int")), "vector_index")
+    codes = cut(base.select("row", "id", "v").mapInArrow(index, ", ".join(f"{c} binary" for c in BLOCK)).withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int")), "vector_index")
     deal = F.pmod(F.xxhash64("row", F.lit("query")), F.lit(query_blocks)).cast("int")
     asked = cut(base.where(F.col("id") % every == 0).withColumn("query_block", deal).groupBy("query_block").applyInArrow(plain, "query_block int, query_ids binary, q binary"), "queries")
     every_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     met = codes.withColumn("query_block", every_of(query_blocks)).repartition(max(parts, query_blocks * slices), "query_block", "slice").sortWithinPartitions("query_block", "slice")
-    met = met.join(asked.withColumn("slice", every_of(slices)), ["query_block", "slice"]).select("query_block", "rows", "ids", "codes", "query_ids", "q")
-    kept = cut(met.mapInArrow(scanned, "query_block int, q int, row long, id long, rough float"), "kept")
-    if slices > 1:  # else a query's rows have all been in one task
-        one, own = Window.partitionBy("query_block", "q"), Window.partitionBy("query_block", "q", "id")
-        kept = kept.withColumn("nth", F.row_number().over(own.orderBy(F.desc("rough"), "row"))).where(F.col("nth") <= most).withColumn("best", F.max("rough").over(own))
-        kept = kept.withColumn("place", F.dense_rank().over(one.orderBy(F.desc("best"), "id"))).where(F.col("place") <= most)
+    met = met.join(asked.withColumn("slice", every_of(slices)), ["query_block", "slice"]).select("query_block", *BLOCK, "query_ids", "q")
+    kept = cut(met.mapInArrow(scanned, "query_block int, q int, row long, id long, low double, high double"), "kept")
+    # A task hands on rows before it has seen all of them, and a query's rows come from as many tasks as there are slices.
+    sure = kept.groupBy("query_block", "q", "id").agg(F.max("low").alias("low"))
+    sure = sure.withColumn("place", F.row_number().over(Window.partitionBy("query_block", "q").orderBy(F.desc("low")))).where(F.col("place") <= most)
+    sure = sure.groupBy("query_block", "q").agg(F.when(F.count(F.lit(1)) >= most, F.min("low")).alias("least"))
+    kept = cut(kept.join(sure, ["query_block", "q"]).where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("query_block", "q", "row"), "sure")
+    largest = kept.groupBy("query_block").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    rest = max(1, -(-largest * (dims * 8 + 64) // EXACT_BYTES))
 
     def exact(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows:

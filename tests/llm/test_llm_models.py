@@ -189,6 +189,33 @@ def test_search_in_many_blocks_and_slices_moves_only_kept_vectors(spark, monkeyp
         inner_product.search(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
 
 
+def test_search_loses_no_neighbour_among_rows_that_codes_cannot_tell_apart(spark):
+    rng = np.random.default_rng(6)
+    tight = rng.standard_normal((2, 16))[rng.integers(0, 2, 900)] + 1e-3 * rng.standard_normal((900, 16))
+    shifted = 50 + rng.standard_normal((400, 16))
+    loud = rng.standard_normal((300, 16)) * 10.0 ** rng.integers(-3, 4, (300, 1))
+    few = np.zeros((400, 16))
+    few[np.arange(400), rng.integers(0, 16, 400)] = rng.standard_normal(400)
+    for x in (tight, np.concatenate([shifted, tight]), loud, few):
+        got = inner_product.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)).toPandas()
+        for i in range(0, len(x), 20):
+            s = np.einsum("ij,j->i", x, x[i])
+            order = [j for j in np.lexsort((np.arange(len(x)), -s)) if j != i][:20]
+            mine = got[got.query_id == i].sort_values("rank")
+            assert np.allclose(mine.score, s[order], rtol=1e-12, atol=1e-15) and len(mine) == 20
+
+
+def test_search_hands_on_what_a_task_cannot_hold(spark, monkeypatch):
+    for name, value in (("ROW_BLOCK", 64), ("QUERY_BLOCK", 16), ("SLICE", 2), ("EXACT_BYTES", 40_000), ("HELD", 500)):
+        monkeypatch.setattr(inner_product, name, value)
+    x = np.random.default_rng(9).standard_normal((1, 8)) + 1e-7 * np.random.default_rng(10).standard_normal((500, 8))
+    got = inner_product.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)).toPandas()
+    for i in range(0, 500, 20):
+        s = np.einsum("ij,j->i", x, x[i])
+        order = [j for j in np.lexsort((np.arange(500), -s)) if j != i][:20]
+        assert np.allclose(got[got.query_id == i].sort_values("rank").score, s[order], rtol=1e-14, atol=0)
+
+
 def test_four_bit_codes_pay_more_for_the_parallel_error():
     x = np.random.default_rng(2).standard_normal((400, 16))
     centres = inner_product.fit(x)
