@@ -33,7 +33,7 @@ class Reader:
         from corvane.operators import rank as R
 
         asked = self.spark.createDataFrame([(0, question)], "qid long, text string")
-        hits = P.question_hits(table(self.spark, self.sf_dir, "documents"), "doc_id", "text", P.query_terms(asked))
+        hits = P.question_hits(table(self.spark, self.sf_dir, "documents"), "doc_id", "text", P.query_terms(asked), 24)
         return R.top_fused(R.fuse(L.text_lanes(hits, 24, {"and": 1.0, "or": 0.6})), k).select("id", "rrf", "fused_rank")
 
     def status(self) -> DataFrame:

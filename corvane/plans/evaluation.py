@@ -29,7 +29,7 @@ _RANKS = f"WITH {S.HITS}, {S.ranked('hits', 'matched >= least(2, n_terms)', 24,
 
 
 def ranks(spark, d) -> DataFrame:
-    return M.best_ranks(L.or_lane(hits(spark, d), 24), targets(spark, d))
+    return M.best_ranks(L.or_lane(hits(spark, d, 24), 24), targets(spark, d))
 
 
 @query("recall_at_k", _RANKS + " SELECT count(*) AS n, round(avg((coalesce(rank, 999) <= 1)::INT), 6) AS recall_at_1, round(avg((coalesce(rank, 999) <= 5)::INT), 6) AS recall_at_5, round(avg((coalesce(rank, 999) <= 10)::INT), 6) AS recall_at_10, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr_at_10 FROM r")
@@ -64,7 +64,7 @@ def bootstrap_ci(spark, d):
 v AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS place, (a - b)::DOUBLE AS x FROM h), """.replace("full AS", '"full" AS') + _DRAWN("paired"))
 def paired_delta_ci(spark, d):
     """By how much the fragment lane finds a target among its first three more often than the exact lane, question by question."""
-    h, tg = hits(spark, d), targets(spark, d)
+    h, tg = hits(spark, d, 24), targets(spark, d)
     one = lambda lane, name: M.best_ranks(lane, tg).select("qid", F.when(F.col("rank") <= 3, 1).otherwise(0).alias(name))
     both = one(L.or_lane(h, 24), "a").join(one(L.and_lane(h, 24), "b"), "qid")
     return interval(both.select("qid", (F.col("a") - F.col("b")).alias("x")), "paired")
@@ -115,7 +115,7 @@ def survivor_depth(spark, d):
 SELECT family, count(*) AS n, count_if(least(a, o) <= 10)::BIGINT AS best_lane_hits, count_if(least(a, o) <= 100)::BIGINT AS depth_hits, count_if(a <= 10)::BIGINT AS by_and_rank, count_if(o <= 10)::BIGINT AS by_or_rank FROM x GROUP BY family""")
 def oracle_by_family(spark, d):
     """What the best lane alone would find, how deep the lanes would have to be read, and which lane solves how much."""
-    h, tg = hits(spark, d), targets(spark, d)
+    h, tg = hits(spark, d, 100), targets(spark, d)
     one = lambda lane, name: M.best_ranks(lane, tg).select("qid", F.col("rank").alias(name))
     r = one(L.and_lane(h, 100), "and_rank").join(one(L.or_lane(h, 100), "or_rank"), "qid").withColumn("family", family(F.col("qid")))
     return M.oracle_by_family(r, ["and_rank", "or_rank"], 10, 100)
