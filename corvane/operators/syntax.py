@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions import text as T
-from corvane.operators.lanes import top_k
+from corvane.llm.common import bound_batches
+from corvane.operators.lanes import MATRIX_QUESTIONS, top_k
+from corvane.operators.postings import best_of, repeated
 
 #: Fixed value: what a match in the body weighs.
 BODY_WEIGHT = 0.1
@@ -37,7 +47,13 @@ def positions(docs: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame
 
 
 def matches(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame) -> DataFrame:
-    """qid, id of the rows that one of a question's alternatives matches. asked: of clauses()."""
+    """qid, id of the rows that one of a question's alternatives matches. asked: of clauses().
+
+    Up to MATRIX_QUESTIONS questions go to every task, where a row is matched whole: a common word would otherwise join
+    every place that it has in any row with every question that asks for it. More questions meet rows by positions.
+    """
+    if asked.select("qid").distinct().count() <= MATRIX_QUESTIONS and not repeated(docs, id_col):
+        return _matched_rows(docs, id_col, text_col, asked)
     placed = positions(docs, id_col, text_col, asked.select("word").distinct())
     held = placed.join(asked, "word").groupBy("qid", "alt", "clause", "negated", "n_words", "id", (F.col("pos") - F.col("i")).alias("at")).agg(F.count_distinct("i").alias("n"))
     held = held.where("n = n_words").select("qid", "alt", "clause", "negated", "id").distinct()
@@ -46,6 +62,63 @@ def matches(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame) -> Da
     return found.join(needed, ["qid", "alt"]).where("n = needed").select("qid", "id").distinct()
 
 
+def _matched_rows(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame) -> DataFrame:
+    by_clause: dict = defaultdict(lambda: defaultdict(list))
+    for r in asked.collect():
+        by_clause[r.qid, r.alt][r.clause, r.negated].append((r.i, r.word))
+    alternatives = []  # qid, words that have to be there, phrases that have to be there, clauses that must not match
+    for (qid, _), own in by_clause.items():
+        needed, barred = ([c for (_, negated), c in own.items() if negated == n] for n in (False, True))
+        if needed:
+            alternatives.append((qid, frozenset(w for c in needed for _, w in c), [c for c in needed if len(c) > 1], barred))
+    vocabulary = frozenset(w for own in by_clause.values() for c in own.values() for _, w in c)
+    popular = defaultdict(int)
+    for one in alternatives:
+        for w in one[1]:
+            popular[w] += 1
+    by_word = defaultdict(list)  # every alternative by the one of its words that the fewest others need
+    for k, one in enumerate(alternatives):
+        by_word[min(one[1], key=lambda w: (popular[w], -len(w), w))].append(k)
+    keys, by_word = frozenset(by_word), dict(by_word)
+    qid_type, id_type = asked.schema["qid"].dataType, docs.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term = re.compile(T.TERM).findall
+        for batch in batches:
+            q, row = [], []
+            for at, text in enumerate(batch.column(1)):
+                found = term((text.as_py() or "").lower())
+                there, places = vocabulary.intersection(found), None
+                matched = set()
+                for k in (k for w in keys & there for k in by_word[w]):
+                    qid, words, phrases, barred = alternatives[k]
+                    if qid in matched or not words <= there:
+                        continue
+                    if places is None and (phrases or barred):
+                        places = defaultdict(set)
+                        for p, w in enumerate(found):
+                            if w in there:
+                                places[w].add(p)
+                    if all(_stands(c, places) for c in phrases) and not any(_stands(c, places) for c in barred):
+                        matched.add(qid)
+                q += matched
+                row += [at] * len(matched)
+            yield pa.RecordBatch.from_arrays([pa.array(q, to_arrow_type(qid_type)), batch.column(0).take(pa.array(row, pa.int64()))], ["qid", "id"])
+
+    return bound_batches(docs.select(id_col, text_col)).mapInArrow(run, f"qid {qid_type.simpleString()}, id {id_type.simpleString()}")
+
+
+def _stands(clause: list[tuple[int, str]], places: dict[str, set[int]]) -> bool:
+    """Whether the words of a clause stand somewhere at their distances."""
+    starts = None
+    for i, word in sorted(clause, key=lambda c: len(places.get(c[1], ()))):
+        here = {p - i for p in places.get(word, ())}
+        starts = here if starts is None else starts & here
+        if not starts:
+            return False
+    return True
+
+
 def cover_density(places: list[tuple[int, int]], n_terms: int) -> float:
     """Sum over the shortest extents that hold all terms of BODY_WEIGHT / (1 + words in between).
 

@@ -38,3 +38,19 @@ def test_term_reach_by_counts_of_tasks_and_by_postings(spark, monkeypatch):
     assert by_task == rows(postings.term_reach(docs, "id", "text", terms))
 
 
+def test_syntax_by_rows_and_by_positions(spark, monkeypatch):
+    q = spark.createDataFrame([(1, 'red "door house" -lamp'), (2, '"red door" OR lamp'), (3, "-red"), (4, '"the house" -"red door"'), (5, "of the")], "qid int, text string")
+    _, docs = made(spark)
+    asked = syntax.clauses(q)
+    by_row = syntax.matches(docs, "id", "text", asked)
+    assert "Generate" not in plan(by_row)
+    got = rows(by_row)
+    monkeypatch.setattr(syntax, "MATRIX_QUESTIONS", 0)
+    assert got == rows(syntax.matches(docs, "id", "text", asked)) and {r[0] for r in got} >= {2}
+    twice = docs.unionByName(spark.createDataFrame([(7, "door house")], "id long, text string"))  # rows with one id count as one
+    monkeypatch.undo()
+    got = rows(syntax.matches(twice, "id", "text", asked))
+    monkeypatch.setattr(syntax, "MATRIX_QUESTIONS", 0)
+    assert got == rows(syntax.matches(twice, "id", "text", asked))
+
+
