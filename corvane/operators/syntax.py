@@ -149,7 +149,12 @@ def density(places: Column, n_terms: Column) -> Column:
 
 
 def cover_lane(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, k: int) -> DataFrame:
-    """terms (qid, term, n_terms) -> qid, id, score, rnk of rows with all terms, by cover density over the row's length."""
+    """terms (qid, term, n_terms) -> qid, id, score, rnk of rows with all terms, by cover density over the row's length.
+
+    Up to MATRIX_QUESTIONS questions go to every task, which reads a row once and returns its own k best of a question.
+    """
+    if terms.select("qid").distinct().count() <= MATRIX_QUESTIONS and not repeated(docs, id_col):
+        return top_k(_dense_rows(docs, id_col, text_col, terms, k), k)
     asked = terms.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("term")).cast("int")).withColumnRenamed("term", "word")
     placed = positions(docs.select(id_col, text_col), id_col, text_col, asked.select("word").distinct())
     held = placed.join(asked, "word").groupBy("qid", "id", "n_terms").agg(F.collect_list(F.struct("pos", "k")).alias("places"), F.count_distinct("k").alias("n")).where("n = n_terms")
@@ -158,6 +163,58 @@ def cover_lane(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, k:
     return top_k(scored, k)
 
 
+def _dense_rows(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, k: int) -> DataFrame:
+    """qid, id, score of the k best rows of a question in each task."""
+    words: dict = defaultdict(list)
+    for r in terms.collect():
+        words[r.qid].append(r.term)
+    qids, sets = list(words), [frozenset(w) for w in words.values()]
+    popular = defaultdict(int)
+    for one in sets:
+        for w in one:
+            popular[w] += 1
+    by_word = defaultdict(list)
+    for i, one in enumerate(sets):
+        by_word[min(one, key=lambda w: (popular[w], -len(w), w))].append(i)
+    vocabulary, keys, by_word = frozenset(popular), frozenset(by_word), dict(by_word)
+    qid_type, id_type = terms.schema["qid"].dataType, docs.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, labels = re.compile(T.TERM).findall, pa.array(qids, to_arrow_type(qid_type))
+        held: list[tuple] = []
+
+        def cut() -> tuple:
+            q, ids, score = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            keep = best_of(q, ids, score, k)
+            return q[keep], ids.take(pa.array(keep)), score[keep]
+
+        for batch in batches:
+            q, row, scores = [], [], []
+            for at, text in enumerate(batch.column(1)):
+                found = term((text.as_py() or "").lower())
+                there, places = vocabulary.intersection(found), None
+                for i in (i for w in keys & there for i in by_word[w]):
+                    if not sets[i] <= there:
+                        continue
+                    if places is None:
+                        places = defaultdict(list)
+                        for p, w in enumerate(found):
+                            if w in there:
+                                places[w].append(p)
+                    here = sorted((p, w) for w in sets[i] for p in places[w]) if len(sets[i]) > 1 else [(p, "") for w in sets[i] for p in places[w]]
+                    score = cover_density(here, len(sets[i])) / len(found)
+                    q.append(i), row.append(at), scores.append(float(Decimal(repr(score)).quantize(Decimal("1e-9"), ROUND_HALF_UP)))
+            held.append((np.array(q, np.int64), batch.column(0).take(pa.array(row, pa.int64())), np.array(scores, np.float64)))
+            if sum(len(h[0]) for h in held) > 100_000:
+                held[:] = [cut()]
+        if held:
+            q, ids, score = cut()
+            yield pa.RecordBatch.from_arrays([labels.take(pa.array(q)), ids, pa.array(score)], ["qid", "id", "score"])
+
+    rows = bound_batches(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col))
+    return rows.mapInArrow(run, f"qid {qid_type.simpleString()}, id {id_type.simpleString()}, score double")
+
+
 def weighted_postings(rows: DataFrame, id_col: str, fields: dict[str, str], vocabulary: DataFrame | None = None) -> DataFrame:
     """id, term, weight, tf over several fields, each with a letter for its weight (A, B, C)."""
     found = F.concat(*[F.transform(T.terms(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(F.lit(letter).alias("weight"), t.alias("term"))) for c, letter in fields.items()])  # noqa: B023

@@ -54,3 +54,13 @@ def test_syntax_by_rows_and_by_positions(spark, monkeypatch):
     assert got == rows(syntax.matches(twice, "id", "text", asked))
 
 
+def test_cover_lane_by_rows_and_by_positions(spark, monkeypatch):
+    q, docs = made(spark)
+    terms = postings.query_terms(q)
+    by_row = syntax.cover_lane(docs, "id", "text", terms, 5)
+    assert "collect_list" not in plan(by_row)
+    got = rows(by_row)
+    monkeypatch.setattr(syntax, "MATRIX_QUESTIONS", 0)
+    assert got == rows(syntax.cover_lane(docs, "id", "text", terms, 5)) and len(got) == 15
+
+
