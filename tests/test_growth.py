@@ -64,3 +64,13 @@ def test_cover_lane_by_rows_and_by_positions(spark, monkeypatch):
     assert got == rows(syntax.cover_lane(docs, "id", "text", terms, 5)) and len(got) == 15
 
 
+def test_holders_by_rows_and_by_runs(spark, monkeypatch):
+    asked = spark.createDataFrame([(1, "a b c d e"), (2, "b c"), (3, "x  y z"), (4, None), (5, "c d e f g h")], "qid int, text string")
+    pages = spark.createDataFrame([(1, "0 a b c d e f"), (2, "a b c d"), (3, "x  y zz"), (4, None), (5, "c d e f g hh")], "id long, page string")
+    by_row = lanes.holders(asked, pages)
+    assert "xxhash64" not in plan(by_row)
+    got = rows(by_row)
+    monkeypatch.setattr(lanes, "MATRIX_QUESTIONS", 0)
+    assert got == rows(lanes.holders(asked, pages)) == [(1, 1), (2, 1), (2, 2), (3, 3), (5, 5)]
+
+
