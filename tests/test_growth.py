@@ -74,3 +74,13 @@ def test_holders_by_rows_and_by_runs(spark, monkeypatch):
     assert got == rows(lanes.holders(asked, pages)) == [(1, 1), (2, 1), (2, 2), (3, 3), (5, 5)]
 
 
+def test_spelling_by_matrix_and_by_trigrams(spark, monkeypatch):
+    words = spark.createDataFrame([(w,) for w in ("housse", "zzz", "mouze", "a", "hous-e", "banana", None)], "word string")
+    terms = spark.createDataFrame([(t,) for t in ("house", "mouse", "houses", "ab", "anna")], "term string")
+    by_matrix = lanes.nearest_terms(words, terms)
+    assert "Join" not in plan(by_matrix)
+    got = rows(by_matrix)
+    monkeypatch.setattr(lanes, "MATRIX_TERMS", 0)
+    assert got == rows(lanes.nearest_terms(words, terms)) and len(got) >= 3
+
+
