@@ -84,3 +84,11 @@ def test_spelling_by_matrix_and_by_trigrams(spark, monkeypatch):
     assert got == rows(lanes.nearest_terms(words, terms)) and len(got) >= 3
 
 
+def test_trigram_lane_bounds_what_a_task_holds(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    q, docs = made(spark)
+    lanes.trigram_lane(q, docs, 2, 0.3)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+
+
