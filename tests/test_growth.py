@@ -92,3 +92,7 @@ def test_trigram_lane_bounds_what_a_task_holds(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
 
 
+def test_features_and_envelopes_read_written_words_and_lanes(spark, sf_dir):
+    assert "held_words" in " ".join(answers.featured(spark, sf_dir).inputFiles())
+    files = [f for f in answers.answer_envelope(spark, sf_dir).inputFiles() if "/lanes-" in f]
+    assert files
